@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, toxicity
+from tidemark.llm import bpe, fingerprints, licenses, lm, quality, toxicity
 from tidemark.llm.arrow import fold
 from tidemark.llm.labelled import FOLDS
 
@@ -44,3 +45,36 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(documents, quality.train(documents, table(spark, folder, "labels")))
     predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
     return scored.select("doc_id", _held_out(FOLDS, 0), "score", predicted, "passages")
+
+
+@query
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token ids and the text they decode to, as digests."""
+    encoded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's license phrases, labels and expressions."""
+    found = licenses.find(table(spark, folder, "documents"))
+    joined = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        joined("places.label").alias("base_labels"), joined("labels").alias("labels"), "score", F.concat_ws(";", "expressions").alias("expressions"),
+    )
+
+
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint beside its edited text's and its successor's."""
+    edited = fingerprints.edits(table(spark, folder, "documents"))
+    return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probabilities by words and by byte contexts."""
+    documents = table(spark, folder, "documents")
+    return lm.score(documents, *lm.train(documents))
