@@ -94,15 +94,17 @@ class Model:
         return -np.expm1(-clean), np.exp(-np.logaddexp(0, -z))
 
 
-def _screen(s: Sentences, labels: np.ndarray, least: int = 8, sigmas: float = 4.0) -> np.ndarray:
+def _screen(texts: pa.Array, labels: np.ndarray, least: int = 8, sigmas: float = 4.0) -> np.ndarray:
     """Features that occur in enough documents and lean to one label beyond chance."""
-    text = s.words.texts
     positives, negatives = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for row in s.features:
-        seen = np.unique(text.astype(np.int64) * (BUCKETS + 1) + row)
-        feature, label = seen % (BUCKETS + 1), labels[seen // (BUCKETS + 1)]
-        positives += np.bincount(feature, label, BUCKETS + 1)
-        negatives += np.bincount(feature, 1 - label, BUCKETS + 1)
+    for i, _, data, at in text_slices(texts):
+        s = Sentences.of(data, at)
+        text = s.words.texts
+        for row in s.features:
+            seen = np.unique(text * (BUCKETS + 1) + row)
+            feature, label = seen % (BUCKETS + 1), labels[i + seen // (BUCKETS + 1)]
+            positives += np.bincount(feature, label, BUCKETS + 1)
+            negatives += np.bincount(feature, 1 - label, BUCKETS + 1)
     p, n = labels.sum(), len(labels) - labels.sum()
     odds = np.log((positives + 0.5) / (p - np.minimum(positives, p) + 0.5)) - np.log((negatives + 0.5) / (n - np.minimum(negatives, n) + 0.5))
     error = np.sqrt(1 / (positives + 0.5) + 1 / (negatives + 0.5))
@@ -117,24 +119,28 @@ def fit(texts: pa.Array, labels: list[int], steps: int = 300, rate: float = 0.15
     base = float(y.mean()) if len(y) else 0.0
     if not 0 < base < 1:
         return Model(weights, float(np.log(base / (1 - base))) if 0 < base < 1 else (-12.0 if base == 0 else 12.0))
-    data, at = next(((d, a) for *_, d, a in text_slices(texts, most=1 << 40)), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-    s = Sentences.of(data, at)
-    kept = _screen(s, y)
+    kept = _screen(texts, y)
     place = np.full(BUCKETS + 1, -1)
     place[kept] = np.arange(len(kept))
-    sentence = np.repeat(np.arange(len(s.first)), np.diff(np.append(s.first, s.features.shape[1])))
-    hits = [(sentence[row >= 0], row[row >= 0]) for row in (place[f] for f in s.features)]
+    sentences, hits, of_text = 0, [], []
+    for i, _, data, at in text_slices(texts):  # a slice at a time: of its features only the kept ones stay
+        s = Sentences.of(data, at)
+        sentence = sentences + np.repeat(np.arange(len(s.first)), np.diff(np.append(s.first, s.features.shape[1])))
+        hits += [(sentence[row >= 0], row[row >= 0]) for row in (place[f] for f in s.features)]
+        of_text.append(s.text + i)
+        sentences += len(s.first)
     at_sentence, feature = (np.concatenate(x) for x in zip(*hits, strict=True))
+    text = np.concatenate(of_text)
     theta = np.zeros(len(kept) + 1)
     theta[-1] = -6.0  # a sentence without any kept feature is clean
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        z = np.bincount(at_sentence, theta[feature], len(s.first)) + theta[-1]
+        z = np.bincount(at_sentence, theta[feature], sentences) + theta[-1]
         p = np.exp(-np.logaddexp(0, -z))
-        clean = np.bincount(s.text, np.logaddexp(0, z), len(y))
+        clean = np.bincount(text, np.logaddexp(0, z), len(y))
         # d loss / d clean: 1 for label 0, -exp(-clean) / (1 - exp(-clean)) for label 1
         pull = np.where(y > 0, -1 / np.expm1(np.clip(clean, 1e-9, 50)), 1.0)
-        by_sentence = pull[s.text] * p / len(y)
+        by_sentence = pull[text] * p / len(y)
         grad = np.append(np.bincount(feature, by_sentence[at_sentence], len(kept)), by_sentence.sum())
         grad[:-1] += decay * theta[:-1] / len(y)
         m = 0.9 * m + 0.1 * grad
