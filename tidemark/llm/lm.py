@@ -1,6 +1,6 @@
 """Language-model scores by prediction by partial matching.
 
-A trie of byte contexts of up to three bytes is counted over the training
+A trie of byte contexts of up to four bytes is counted over the training
 texts. A byte's probability comes from the longest known context; a byte not
 seen there escapes, with the number of different bytes seen as the escape's
 count, to the context without its oldest byte, where those already ruled out
@@ -34,13 +34,13 @@ from tidemark.llm.storage import written
 #: Texts of fold 2 of so many are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of context.
-ORDER = 3
+ORDER = 4
 #: What no text in UTF-8 has: the byte before a text's first and the one after its last.
 START, END = 0xFF, 0xFE
 #: Words whose counts go to every task; the counts of rarer ones are joined.
 HEAD_WORDS = 1 << 17
 #: Contexts with their next bytes that a task holds at a time. Where there are more, they come in blocks.
-BLOCK_PAIRS = 1 << 22
+BLOCK_PAIRS = 1 << 20
 #: Counts that a task gathers before it passes them on.
 GATHERED = 1 << 21
 
@@ -61,10 +61,13 @@ def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Every byte behind its three predecessors, the nearest next to it, as one number."""
+    """Every byte behind its predecessors, the nearest next to it, as one number."""
     b, place, _ = padded(data, at)
-    wide = b.astype(np.uint32)
-    return wide[place - 3] << np.uint32(24) | wide[place - 2] << np.uint32(16) | wide[place - 1] << np.uint32(8) | wide[place]
+    wide = b.astype(np.uint64)
+    out = wide[place]
+    for k in range(1, ORDER + 1):
+        out |= wide[place - k] << np.uint64(8 * k)
+    return out
 
 
 class _Tally:
@@ -133,58 +136,68 @@ class Trie:
         seen = np.zeros(256, bool)
         seen[low.any(1).nonzero()[0]] = seen[low.any(0).nonzero()[0]] = True
         seen[[START, END]] = True
-        for k in (24, 16, 8, 0):
-            seen[np.unique(pairs >> np.uint32(k) & np.uint32(255))] = True
+        for k in range(ORDER + 1):
+            seen[np.unique((pairs >> np.uint64(8 * k)).astype(np.uint8))] = True
         unseen = np.flatnonzero(~seen)
         symbol = np.zeros(256, np.int64)
         symbol[np.flatnonzero(seen)] = np.arange(seen.sum())
         symbol[unseen] = seen.sum()  # one column for all bytes never seen
         width = int(seen.sum()) + 1
-        # numbers of next bytes, level by level: the root, then contexts of one, two and three bytes
-        table = np.zeros((1, width))
-        table[0, symbol[np.flatnonzero(seen)]] = low.sum(0)[seen]
-        first = np.flatnonzero(low.any(1))
-        levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), table)]
-        one = np.zeros((len(first), width))
-        one[:, symbol[np.flatnonzero(seen)]] = low[first][:, seen]
-        levels.append((np.zeros(len(first), np.int64), symbol[first], one))
-        names = first.astype(np.uint32)  # context as a number, the nearest byte lowest
-        for k in (2, 3):
-            context = pairs >> np.uint32(8) & np.uint32((1 << 8 * k) - 1)
-            found, at = np.unique(context, return_inverse=True)
-            numbers = np.bincount(at * width + symbol[pairs & np.uint32(255)], counts, len(found) * width).reshape(len(found), width)
-            parent = np.searchsorted(names, found & np.uint32((1 << 8 * (k - 1)) - 1))
-            levels.append((parent, symbol[found >> np.uint32(8 * (k - 1))], numbers))
-            names = found
-        base = np.cumsum([0, *(len(p) for p, *_ in levels)])
-        child = np.full((base[-2], width), -1, np.int32)
-        rows = []
-        # at the root all bytes without a number are alike
-        left = 256 - (table[0] > 0).sum()
-        escaped = np.full((1, width), 1.0 / max(left, 1))
-        above_numbers, above_escaped = None, None
-        for k, (parent, edge, numbers) in enumerate(levels):
-            known = numbers > 0
-            if k:
-                child[base[k - 1] + parent, edge] = base[k] + np.arange(len(parent))
-                rest = np.where(known, 0, above_numbers[parent])
+        columns = np.flatnonzero(seen)
+        low = low[:, columns]
+        # level by level: how often each byte follows a context, and the probability after escaping past it
+        numbers = np.zeros((1, width), np.float32)
+        numbers[0, :-1] = low.sum(0)
+        left = 256 - (numbers > 0).sum()  # at the root all bytes without a number are alike
+        escaped = np.full((1, width), 1.0 / max(left, 1), np.float32)
+        child, rows = [], [cls._probabilities(numbers, escaped)]
+        names, base = np.zeros(1, np.uint64), 0  # contexts as numbers, the nearest byte lowest
+        for k in range(1, ORDER + 1):
+            context = pairs >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)
+            found, at = (np.flatnonzero(low.any(1)).astype(np.uint64), None) if k == 1 else np.unique(context, return_inverse=True)
+            parent = np.searchsorted(names, found & np.uint64((1 << 8 * (k - 1)) - 1))
+            step = np.full((len(names), width), -1, np.int32)
+            step[parent, symbol[found >> np.uint64(8 * (k - 1))]] = base + len(names) + np.arange(len(found))
+            child.append(step)
+            base += len(names)
+            order = None if at is None else np.argsort(at, kind="stable")
+            bounds = None if at is None else np.searchsorted(at[order], np.arange(len(found) + 1))
+            inner_numbers, inner_escaped = [], []
+            for i in range(0, len(found), 1 << 13):  # a few thousand contexts at a time
+                j = min(i + (1 << 13), len(found))
+                if at is None:
+                    part = np.zeros((j - i, width), np.float32)
+                    part[:, :-1] = low[found[i:j].astype(np.int64)]
+                else:
+                    mine = order[bounds[i] : bounds[j]]
+                    part = np.bincount((at[mine] - i) * width + symbol[pairs[mine].astype(np.uint8)], counts[mine], (j - i) * width).astype(np.float32).reshape(j - i, width)
+                rest = np.where(part > 0, 0, numbers[parent[i:j]])  # exclusion: what this context has is ruled out above
                 total, kinds = rest.sum(1, keepdims=True), (rest > 0).sum(1, keepdims=True)
-                some = kinds > 0
-                scale = np.where(some, total + kinds, 1)
-                escaped = np.where(rest > 0, rest / scale, np.where(some, kinds / scale, 1.0) * above_escaped[parent])
-            total, kinds = numbers.sum(1, keepdims=True), known.sum(1, keepdims=True)
-            scale = np.maximum(total + kinds, 1)
-            p = np.where(known, numbers / scale, np.where(kinds > 0, kinds / scale, 1.0) * escaped)
-            rows.append(np.log10(np.maximum(p, 1e-300)).astype(np.float32))
-            above_numbers, above_escaped = numbers, escaped
-        return cls(symbol, child, np.concatenate(rows))
+                scale = np.where(kinds > 0, total + kinds, 1)
+                beyond = np.where(rest > 0, rest / scale, np.where(kinds > 0, kinds / scale, 1.0) * escaped[parent[i:j]]).astype(np.float32)
+                rows.append(cls._probabilities(part, beyond))
+                if k < ORDER:
+                    inner_numbers.append(part)
+                    inner_escaped.append(beyond)
+            if k < ORDER:
+                empty = [np.zeros((0, width), np.float32)]
+                numbers, escaped, names = np.concatenate(empty + inner_numbers), np.concatenate(empty + inner_escaped), found
+        return cls(symbol, np.concatenate(child), np.concatenate(rows))
+
+    @staticmethod
+    def _probabilities(numbers: np.ndarray, escaped: np.ndarray) -> np.ndarray:
+        """log10 of a byte's share, the number of kinds being the escape's count; unknown bytes get the escape's share."""
+        kinds = (numbers > 0).sum(1, keepdims=True)
+        scale = np.maximum(numbers.sum(1, keepdims=True) + kinds, 1)
+        p = np.where(numbers > 0, numbers / scale, np.where(kinds > 0, kinds / scale, 1.0) * escaped)
+        return np.log10(np.maximum(p, 1e-38)).astype(np.float32)
 
     def score(self, data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
         """The log10 probability of each text; with ``wanted`` that of the bytes behind such last two bytes only."""
         b, place, sizes = padded(data, at)
         if wanted is not None:
             chosen = wanted[b[place - 2].astype(np.int64) << 8 | b[place - 1]]
-            sizes = np.add.reduceat(chosen, np.cumsum(sizes) - sizes).astype(np.int64)
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), chosen, len(sizes)).astype(np.int64)
             place = place[chosen]
         column = self.symbol[b]
         node = np.zeros(len(place), np.int64)
@@ -221,7 +234,8 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the table of all counts.
 
     What comes to the driver: a histogram of word counts on 1,000 steps, the
-    commonest words (HEAD_WORDS at most), and the contexts of three bytes.
+    commonest words (HEAD_WORDS at most), and the
+    numbers of the longest contexts with their next bytes.
     """
     counts = count(documents)
     of = {kind: counts.filter(F.col("kind") == kind).select("key", "n") for kind in (WORD, CONTEXT, TEXT)}
@@ -238,9 +252,9 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     hashes, numbers = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
     order = np.argsort(hashes)
     pairs = of[CONTEXT].toArrow().sort_by("key")
-    code, n = pairs["key"].to_numpy().astype(np.uint32), pairs["n"].to_numpy().astype(np.int64)
-    low = np.bincount((code & np.uint32(0xFFFF)).astype(np.int64), n, 1 << 16).reshape(256, 256)
-    last_two = (code >> np.uint32(8) & np.uint32(0xFFFF)).astype(np.int64)
+    code, n = pairs["key"].to_numpy().view(np.uint64), pairs["n"].to_numpy()
+    low = np.bincount((code & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64).reshape(256, 256)
+    last_two = (code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
     filled = np.cumsum(np.bincount(last_two, minlength=1 << 16))
     block_of = np.maximum(filled - 1, 0) // BLOCK_PAIRS
     blocks = [zlib.compress(code[m].tobytes() + n[m].tobytes(), 1) for k in range(int(block_of.max()) + 1) for m in [block_of[last_two] == k]]
@@ -252,15 +266,19 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
 @lru_cache(1)
 def _unpacked(name: str, block: int, packed: bytes, low: bytes) -> Trie:
     raw = zlib.decompress(packed)
-    n = len(raw) // 12
-    return Trie.of(np.frombuffer(raw, np.uint32, n), np.frombuffer(raw, np.int64, n, 4 * n), np.frombuffer(low).reshape(256, 256))
+    n = len(raw) // 16
+    return Trie.of(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(low, np.int64).reshape(256, 256))
 
 
-def _score_texts(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    low = model.low.tobytes()
-    if len(model.blocks) == 1:
-        return _unpacked(model.name, 0, model.blocks[0], low).score(data, at)
-    return sum(_unpacked(model.name, k, b, low).score(data, at, model.block_of == k) for k, b in enumerate(model.blocks))
+def _score_texts(model: Model, texts: pa.Array) -> np.ndarray:
+    """Log10 probabilities of a batch; several blocks follow each other and are in memory one at a time."""
+    out = np.zeros(len(texts))
+    for k, packed in enumerate(model.blocks):
+        trie = _unpacked(model.name, k, packed, model.low.tobytes())
+        wanted = model.block_of == k if len(model.blocks) > 1 else None
+        for i, j, data, at in text_slices(texts):
+            out[i:j] += trie.score(data, at, wanted)
+    return out
 
 
 def _lookup(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -288,6 +306,7 @@ def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
         for batch in it:
             ids = batch.column(0)
             held = folds(ids.to_pylist(), FOLDS) == HELD_OUT
+            scores = _score_texts(m, batch.column(1))
             for i, j, data, at in text_slices(batch.column(1)):
                 found = W.find(data, at)
                 keys, text = W.Hasher(data)(found.start, found.end), found.texts
@@ -305,7 +324,7 @@ def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 bounds = np.searchsorted(owner[first], np.arange(j - i + 1))
                 tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times, pa.int64())], ["word", "times"]))
                 yield pa.record_batch([
-                    ids.slice(i, j - i).cast(pa.int64()), pa.array(held[i:j]), pa.array(np.diff(found.at) + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(_score_texts(m, data, at)), tail.cast(_TAIL),
+                    ids.slice(i, j - i).cast(pa.int64()), pa.array(held[i:j]), pa.array(np.diff(found.at) + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(scores[i:j]), tail.cast(_TAIL),
                 ], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: long, times: long>>"

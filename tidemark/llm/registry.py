@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, licenses, lm, quality, toxicity
+from tidemark.llm import bpe, fingerprints, licenses, lm, packing, quality, toxicity
 from tidemark.llm.arrow import fold
 from tidemark.llm.labelled import FOLDS
 
@@ -78,3 +78,9 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probabilities by words and by byte contexts."""
     documents = table(spark, folder, "documents")
     return lm.score(documents, *lm.train(documents))
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
