@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, licenses, lm, packing, quality, toxicity
+from tidemark.llm import bpe, fingerprints, licenses, lines, lm, packing, quality, toxicity
 from tidemark.llm.arrow import fold
 from tidemark.llm.labelled import FOLDS
 
@@ -84,3 +84,12 @@ def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that an earlier line makes redundant."""
+    return lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL["op2_line_dedup"] = lines.ORACLE_SQL
