@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprints, licenses, lines, lm, neardup, packing, quality, toxicity
+from tidemark.llm import ann, bpe, fingerprints, licenses, lines, lm, neardup, packing, quality, toxicity
 from tidemark.llm.arrow import fold
 from tidemark.llm.labelled import FOLDS
 
@@ -99,3 +99,9 @@ ORACLE_SQL["op2_line_dedup"] = lines.ORACLE_SQL
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class of near-duplicates and its number of links to representatives of other texts."""
     return neardup.classes(table(spark, folder, "documents"))
+
+
+@query
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest neighbours of every fiftieth vector."""
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
