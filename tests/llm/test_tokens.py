@@ -1,0 +1,147 @@
+"""BPE and packing against the tokenizers library."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from common import DATA, edge_rows, frame
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tidemark.llm import bpe, packing, registry
+
+BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
+ALPHABET = [*"aA zÉé\t\n  '\x1c\x85\x02　日ß<>0٣½ʼΣς’\x00", "̈́", "\U0001d518", "\U0001f600", "​", " ", "'ll", "<|endoftext|>", "ing", "İ"]
+
+
+def odd_texts(n: int) -> list[str]:
+    rnd = random.Random(n)
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 30))) for _ in range(n)]
+
+
+def test_bpe_equals_the_library_on_odd_texts():
+    library, own = Tokenizer.from_file(BYTE), bpe.Bpe(BYTE)
+    texts = odd_texts(3000) + ["", " ", "a" * 5000, "ab " * 2000]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = own.encode(text).tolist()
+        assert ids == want.ids, text
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_stale_entries_are_skipped_and_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    own = bpe.Bpe(BYTE)
+    texts = odd_texts(200)
+    assert [own.decode(own.encode(t)) for t in texts] == texts
+    assert len(own._known) <= 5
+
+
+def test_bpe_query_over_the_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().sort_values("doc_id")
+    library = Tokenizer.from_file(BYTE)
+    rows = {r.doc_id: r for r in registry.QUERIES["op3_bpe"](spark, DATA).collect()}
+    import hashlib
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for i, text, e in zip(docs.doc_id, docs.text, library.encode_batch(docs.text.tolist(), add_special_tokens=False), strict=True):
+        r = rows.pop(i)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(e.ids), sha(",".join(map(str, e.ids))), sha(text))
+    assert not rows
+
+
+def test_bpe_edges(spark):
+    rows = edge_rows()
+    got = bpe.encode(frame(spark, rows), BYTE).collect()
+    assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((str(i), t or "") for i, t in rows)
+    assert all(r.ids == [] for r in got if r.decoded == "")
+    assert bpe.encode(frame(spark, []), BYTE).collect() == []
+
+
+def test_word_ids_equal_the_library(monkeypatch):
+    library, own = Tokenizer.from_file(WORD), packing.Tokens(WORD)
+    texts = odd_texts(3000)
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for i in range(0, len(texts), 500):
+        assert [x.tolist() for x in own.encode(texts[i : i + 500])] == want[i : i + 500]
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    small = packing.Tokens(WORD)
+    assert [small.encode([t])[0].tolist() for t in texts[:200]] == want[:200]
+
+
+def check_packed(rows, ids: dict, length: int) -> float:
+    """Every id is in one piece, every place in one sequence; the share of padding."""
+    documents, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        documents[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert documents.keys() == ids.keys()
+    for i, pieces in documents.items():
+        pieces.sort(key=lambda r: r.start)
+        assert [r.start for r in pieces] == [sum(p.length for p in pieces[:k]) for k in range(len(pieces))]
+        assert {r.doc_tokens for r in pieces} == {len(ids[i])} == {sum(p.length for p in pieces)}
+        for r in pieces:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[i][r.start : r.start + r.length], "<u4").tobytes())
+    used = padding = 0
+    assert sorted(sequences) == list(range(len(sequences)))
+    for pieces in sequences.values():
+        pieces.sort(key=lambda r: r.offset)
+        n = 0
+        for r in pieces:
+            assert r.offset == n
+            n += r.length
+        assert n <= length
+        used += n
+        padding += length - n if n & (n - 1) else 0
+    return padding / (used + padding)
+
+
+def test_packing_query_over_the_whole_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
+    ids = {i: [*e.ids, 1] for i, e in zip(docs.doc_id, Tokenizer.from_file(WORD).encode_batch(docs.text.tolist(), add_special_tokens=False), strict=True)}
+    assert check_packed(registry.QUERIES["op7_packing"](spark, DATA).collect(), ids, 2048) < 0.02
+
+
+def test_packing_edges_ids_and_small_sequences(spark):
+    rows = [(i, t) for i, t in edge_rows() if i not in (None, 4)]
+    cut = packing.pieces(frame(spark, rows), WORD, length=16, ids=True)
+    got = packing.pack(cut, 16).collect()
+    library = Tokenizer.from_file(WORD)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    check_packed(got, ids, 16)
+    assert all(list(r.ids) == ids[r.doc_id][r.start : r.start + r.length] for r in got)
+    everything = packing.packed(frame(spark, edge_rows()), WORD).collect()
+    assert Counter(str(r.doc_id) for r in everything if r.start == 0) == Counter(str(i) for i, _ in edge_rows())
+    assert len({(r.sequence_id, r.offset) for r in everything}) == len(everything)
+    assert packing.packed(frame(spark, []), WORD).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_hold_every_piece_once_with_little_padding(seed):
+    rnd = np.random.default_rng(seed)
+    histogram = Counter(np.clip(rnd.lognormal(5, 1.2, 20_000).astype(int), 1, 2048).tolist())
+    found = packing.patterns(dict(histogram))
+    held = Counter()
+    for count, content in found:
+        assert sum(content) <= 2048
+        for size in content:
+            held[size] += count
+    assert held == histogram
+    assert sum(c * (2048 - sum(p)) for c, p in found) < 0.02 * sum(k * v for k, v in histogram.items())
+    assert packing.patterns({1000: 10**12}) and len(found) < 5000
+    assert packing.patterns({}) == []
+    with pytest.raises(ValueError, match="lengths"):
+        packing.patterns({2049: 1})
+
+
+def test_a_hot_length_is_ranked_in_parts(spark):
+    cut = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 700).otherwise(512).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    got = packing.pack(cut, 2048).collect()
+    places = {(r.sequence_id, r.offset) for r in got}
+    assert len(places) == 5000
+    by = defaultdict(int)
+    for r in got:
+        by[r.sequence_id] += r.length
+    assert max(by.values()) <= 2048 and sorted(by) == list(range(len(by)))

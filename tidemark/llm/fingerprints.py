@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.arrow import slices, text_slices
+from tidemark.llm.groups import components, link
+from tidemark.llm.storage import written
 
 #: Words of a shingle, and the similarity from which documents are near.
 SHINGLE, NEAR = 5, 0.8
-#: Hash functions; near pairs share one of BANDS runs of them. A pair at the threshold has no band in common in 2 of a million cases.
-HASHES, BANDS = 128, 32
+#: Hash functions. Four in a row are a band, and near pairs share one: of pairs at the threshold all but 1 in 10 million do.
+HASHES = 128
 
 _COEFFICIENTS = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
 _A, _B = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
@@ -160,44 +162,39 @@ def edits(documents: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def near_pairs(documents: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Links between near documents, and which documents share a text.
-
-    Returns links ``(a, b, jaccard)`` between representatives, a < b, and
-    membership ``(doc_id, representative)``. Equal texts have one
-    representative, their least id; null ids take no part. Candidates share a
-    band of the fingerprint and are verified on their shingles. A band that
-    many different texts share is cut: its texts are compared, block of 64
-    against block, in tasks of two blocks each, so that no task sees the
-    whole band and no link in it is lost.
+    """Links between near documents, and every document's group.
+
+    Returns links ``(a, b, likeness)``, a < b, whose likeness is the exact
+    Jaccard similarity of the texts' shingles, and ``(doc_id, class_id)`` of
+    documents in a group, named by its least id. Equal texts are one document
+    here, known by its least id. Candidates share a band of the fingerprint;
+    links that would lie within a group that others have made aren't sought.
+    Rows with a null id take no part.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
-    classes = rows.groupBy(F.sha2("text", 256).alias("class")).agg(F.min("doc_id").alias("representative"))
-    membership = rows.select("doc_id", F.sha2("text", 256).alias("class")).join(classes, "class").select("doc_id", "representative")
-    texts = rows.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.length(text), text).alias("k2")).filter("doc_id is not null")
 
-    def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i, j, data, at in text_slices(batch.column(1), 1 << 18):
-                keys = np.ascontiguousarray(signatures(data, at)).view("<u8").reshape(j - i, BANDS).view("<i8") if j > i else np.zeros((0, BANDS), "<i8")
+                keys = signatures(data, at).view("<i8")  # four 16-bit places are one band
                 words = W.find(data, at)
                 x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
-                lists = [np.unique(x[to[d] : to[d + 1]]).view(np.int64) for d in range(j - i)]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(list(keys), pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "bands", "shingles"])
-
-    signed = texts.mapInArrow(bands, "doc_id long, bands array<long>, shingles array<long>")
-    keyed = signed.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    block = 64
-    crowded = keyed.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = crowded.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = placed.select("band", "key", "block", F.col("doc_id").alias("a"))
-    # each text meets the blocks from its own on
-    right = placed.select("band", "key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"), F.col("doc_id").alias("b"))
-    met = left.join(right, ["band", "key", "block"]).filter("a != b")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = signed.select(F.col("doc_id"), "shingles")
-    a, b = sets.toDF("a", "a_shingles"), sets.toDF("b", "b_shingles")
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    jaccard = (common / (F.size("a_shingles") + F.size("b_shingles") - common)).alias("jaccard")
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard).filter(F.col("jaccard") >= threshold)
-    return links, membership
+                sets = [np.unique(x[to[d] : to[d + 1]]).view(np.int64) for d in range(j - i)]
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "keys", "shingles"])
+
+    signed = written(rows.mapInArrow(banded, "doc_id long, k1 long, k2 long, keys array<long>, shingles array<long>"), "fingerprints")
+    firsts = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
+    copies = signed.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    own = signed.join(firsts, ["k1", "k2"]).filter("doc_id = first")
+    members = own.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("doc_id").alias("doc")).distinct()
+    sets = own.select("doc_id", "shingles").dropDuplicates(["doc_id"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("likeness")).filter(F.col("likeness") >= threshold)
+
+    links, _ = link(members, verify)
+    groups = components(links.select("a", "b").union(copies)).toDF("doc_id", "class_id")
+    return links, groups.union(groups.select(F.col("class_id").alias("doc_id"), "class_id").distinct())

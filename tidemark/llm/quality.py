@@ -149,7 +149,7 @@ def fit(texts: pa.Array, labels: list[int], epochs: int = 30, batch: int = 128,
         "out": rng.normal(0, UNITS**-0.5, UNITS), "out_bias": np.zeros(1),
     }
     base = float(y.mean()) if len(y) else 0.5
-    if not 0 < base < 1:
+    if not len(y) or not 0 < base < 1:
         w["out"][:] = 0
         w["out_bias"][:] = 0.0 if not len(y) else 12.0 if base else -12.0
         return Model(w)
