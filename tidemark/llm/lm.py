@@ -17,10 +17,10 @@ gives an empty result; without training texts every byte is equally likely.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ HEAD_WORDS = 1 << 17
 #: Contexts with their next bytes that a task holds at a time. Where there are more, they come in blocks.
 BLOCK_PAIRS = 1 << 20
 #: Counts that a task gathers before it passes them on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 
 WORD, CONTEXT, TEXT = 0, 1, 2
 
@@ -106,7 +106,7 @@ def count(documents: DataFrame) -> DataFrame:
         tallies, texts = {WORD: _Tally(), CONTEXT: _Tally()}, 0
         for batch in it:
             training = pa.array(folds(batch.column(0).to_pylist(), FOLDS) != HELD_OUT)
-            for i, j, data, at in text_slices(batch.column(1).filter(training)):
+            for i, j, data, at in text_slices(batch.column(1).filter(training), 1 << 19):
                 words = W.find(data, at)
                 tallies[WORD].add(W.Hasher(data)(words.start, words.end))
                 tallies[CONTEXT].add(codes(data, at))
@@ -150,22 +150,25 @@ class Trie:
         numbers[0, :-1] = low.sum(0)
         left = 256 - (numbers > 0).sum()  # at the root all bytes without a number are alike
         escaped = np.full((1, width), 1.0 / max(left, 1), np.float32)
-        child, rows = [], [cls._probabilities(numbers, escaped)]
-        names, base = np.zeros(1, np.uint64), 0  # contexts as numbers, the nearest byte lowest
+        contexts = [np.zeros(1, np.uint64), np.flatnonzero(low.any(1)).astype(np.uint64)]  # as numbers, the nearest byte lowest
+        contexts += [np.unique(pairs >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)) for k in range(2, ORDER + 1)]
+        base = np.cumsum([0, *(len(c) for c in contexts)])
+        child = np.full((base[-2], width), -1, np.int32)
+        rows = np.empty((base[-1], width), np.float32)
+        rows[:1] = cls._probabilities(numbers, escaped)
         for k in range(1, ORDER + 1):
-            context = pairs >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)
-            found, at = (np.flatnonzero(low.any(1)).astype(np.uint64), None) if k == 1 else np.unique(context, return_inverse=True)
-            parent = np.searchsorted(names, found & np.uint64((1 << 8 * (k - 1)) - 1))
-            step = np.full((len(names), width), -1, np.int32)
-            step[parent, symbol[found >> np.uint64(8 * (k - 1))]] = base + len(names) + np.arange(len(found))
-            child.append(step)
-            base += len(names)
-            order = None if at is None else np.argsort(at, kind="stable")
-            bounds = None if at is None else np.searchsorted(at[order], np.arange(len(found) + 1))
-            inner_numbers, inner_escaped = [], []
-            for i in range(0, len(found), 1 << 13):  # a few thousand contexts at a time
-                j = min(i + (1 << 13), len(found))
-                if at is None:
+            found, above = contexts[k], contexts[k - 1]
+            parent = np.searchsorted(above, found & np.uint64((1 << 8 * (k - 1)) - 1))
+            child[base[k - 1] + parent, symbol[found >> np.uint64(8 * (k - 1))]] = base[k] + np.arange(len(found))
+            if k > 1:
+                at = np.searchsorted(found, pairs >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)).astype(np.int32)
+                order = np.argsort(at, kind="stable").astype(np.int32)
+                bounds = np.searchsorted(at, np.arange(len(found) + 1), sorter=order)
+            if k < ORDER:
+                next_numbers, next_escaped = (np.empty((len(found), width), np.float32) for _ in range(2))
+            for i in range(0, len(found), 1 << 12):  # a few thousand contexts at a time
+                j = min(i + (1 << 12), len(found))
+                if k == 1:
                     part = np.zeros((j - i, width), np.float32)
                     part[:, :-1] = low[found[i:j].astype(np.int64)]
                 else:
@@ -175,14 +178,12 @@ class Trie:
                 total, kinds = rest.sum(1, keepdims=True), (rest > 0).sum(1, keepdims=True)
                 scale = np.where(kinds > 0, total + kinds, 1)
                 beyond = np.where(rest > 0, rest / scale, np.where(kinds > 0, kinds / scale, 1.0) * escaped[parent[i:j]]).astype(np.float32)
-                rows.append(cls._probabilities(part, beyond))
+                rows[base[k] + i : base[k] + j] = cls._probabilities(part, beyond)
                 if k < ORDER:
-                    inner_numbers.append(part)
-                    inner_escaped.append(beyond)
+                    next_numbers[i:j], next_escaped[i:j] = part, beyond
             if k < ORDER:
-                empty = [np.zeros((0, width), np.float32)]
-                numbers, escaped, names = np.concatenate(empty + inner_numbers), np.concatenate(empty + inner_escaped), found
-        return cls(symbol, np.concatenate(child), np.concatenate(rows))
+                numbers, escaped = next_numbers, next_escaped
+        return cls(symbol, child, rows)
 
     @staticmethod
     def _probabilities(numbers: np.ndarray, escaped: np.ndarray) -> np.ndarray:
@@ -259,24 +260,30 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     block_of = np.maximum(filled - 1, 0) // BLOCK_PAIRS
     blocks = [zlib.compress(code[m].tobytes() + n[m].tobytes(), 1) for k in range(int(block_of.max()) + 1) for m in [block_of[last_two] == k]]
     kinds = total.kinds + (texts > 0)
-    model = Model(blocks, block_of, low, hashes[order], numbers[order], (total.n or 0) + texts, kinds, texts, name=str(hash((total.n, len(code), texts))))
+    model = Model(blocks, block_of, low, hashes[order], numbers[order], (total.n or 0) + texts, kinds, texts, name=uuid.uuid4().hex)
     return model, of[WORD]
 
 
-@lru_cache(1)
-def _unpacked(name: str, block: int, packed: bytes, low: bytes) -> Trie:
-    raw = zlib.decompress(packed)
-    n = len(raw) // 16
-    return Trie.of(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(low, np.int64).reshape(256, 256))
+_HELD: dict[tuple[str, int], Trie] = {}
+
+
+def _unpacked(name: str, block: int, packed: bytes, low: np.ndarray) -> Trie:
+    """The trie of a block. A worker holds one, and lets go of it before it builds another."""
+    if (name, block) not in _HELD:
+        _HELD.clear()
+        raw = zlib.decompress(packed)
+        n = len(raw) // 16
+        _HELD[name, block] = Trie.of(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), low)
+    return _HELD[name, block]
 
 
 def _score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     """Log10 probabilities of a batch; several blocks follow each other and are in memory one at a time."""
     out = np.zeros(len(texts))
     for k, packed in enumerate(model.blocks):
-        trie = _unpacked(model.name, k, packed, model.low.tobytes())
+        trie = _unpacked(model.name, k, packed, model.low)
         wanted = model.block_of == k if len(model.blocks) > 1 else None
-        for i, j, data, at in text_slices(texts):
+        for i, j, data, at in text_slices(texts, 1 << 18):
             out[i:j] += trie.score(data, at, wanted)
     return out
 
