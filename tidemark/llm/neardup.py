@@ -17,7 +17,6 @@ empty result. Texts of any length are compared whole.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import strings, text_slices
+from tidemark.llm.arrow import slices, strings, text_slices
 from tidemark.llm.groups import components, link
 from tidemark.llm.storage import written
 
@@ -92,12 +91,39 @@ def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
+def _band(a: list[int], b: list[int], k: int) -> int:
+    """Edit distance within k diagonals of the main one, exact if it is at most k.
+
+    Bits of whole numbers hold the differences between the rows of a column
+    of the alignment, for the 2 k + 1 rows of the band; a column costs a few
+    operations on them. The distance is followed down the band's lowest
+    diagonal to the last row, and along it to the last column.
+    """
+    m, full = len(a), (1 << 2 * k + 1) - 1
+    places: dict[int, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i + k
+    up, down = full >> k << k, 0  # before the first column each row is one more than the row above
+    top, distance = 1 << 2 * k, min(m, k)
+    for j, w in enumerate(b, 1):
+        equal = places.get(w, 0) >> j - 1 & full
+        flat = (((equal & up) + up ^ up) | equal | down) & full  # where a diagonal step costs nothing
+        right, left = down | (flat | up) ^ full, up & flat
+        if j <= m - k:
+            distance += not flat & top
+        else:
+            row = m - j + k
+            distance += (right >> row & 1) - (left >> row & 1)
+        up, down = left | (flat >> 1 | right) ^ full, right & flat >> 1
+    return distance
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Words to add, drop or replace to turn a into b; most + 1 if there are more than ``most``.
 
-    Only diagonals within ``most`` of the main one are entered, and only as
-    far as each number of edits reaches: for every number of edits the
-    furthest row on each diagonal, from where equal words are followed freely.
+    Equal words at both ends are left out, and texts whose words differ too
+    much in number are refused. The rest is aligned along a band, which is
+    widened until the distance fits into it.
     """
     if abs(len(a) - len(b)) > most:
         return most + 1
@@ -114,37 +140,18 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     # each edit mends at most one word that only one side has
     both, which = np.unique(np.concatenate([a, b]), return_inverse=True)
     surplus = np.bincount(which[: len(a)], minlength=len(both)) - np.bincount(which[len(a) :], minlength=len(both))
-    if max(int(surplus[surplus > 0].sum()), int(-surplus[surplus < 0].sum())) > most:
+    least = max(int(surplus[surplus > 0].sum()), int(-surplus[surplus < 0].sum()))
+    if least > most:
         return most + 1
-    breaks: dict[int, list[int]] = {}
-
-    def reach(d: int, i: int) -> int:
-        """The row up to which diagonal d (b's place less a's) has equal words from row i on."""
-        found = breaks.get(d)
-        if found is None:
-            lo, hi = max(0, -d), min(len(a), len(b) - d)
-            found = breaks[d] = (np.flatnonzero(a[lo:hi] != b[lo + d : hi + d]) + lo).tolist() + [hi]
-        return found[bisect_left(found, i)] if i < found[-1] else max(i, found[-1])
-
-    goal = len(b) - len(a)
-    far = {0: reach(0, 0)}
-    if goal == 0 and far[0] >= len(a):
-        return 0
-    for e in range(1, most + 1):
-        after: dict[int, int] = {}
-        for d in range(-e, e + 1):
-            if d < -len(a) or d > len(b) or abs(goal - d) > most - e:  # too far to come back
-                continue
-            # replaced, dropped from a, added from b
-            i = max(far.get(d, -2) + 1, far.get(d + 1, -2) + 1, far.get(d - 1, -2))
-            if i < 0:
-                continue
-            i = min(i, len(a), len(b) - d)
-            after[d] = reach(d, i)
-        if after.get(goal, -1) >= len(a):
-            return e
-        far = after
-    return most + 1
+    x, y = which[: len(a)].tolist(), which[len(a) :].tolist()
+    k = min(most, max(14, abs(len(x) - len(y)), least + least // 2))
+    while True:
+        found = _band(x, y, k)
+        if found <= k:
+            return found
+        if k >= most:
+            return most + 1
+        k = min(most, 3 * k)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = NEAR) -> float:
@@ -171,14 +178,16 @@ def _sketched(documents: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sides = []
-            for c in (2, 3):
-                data, at = strings(batch.column(c))
-                data, at = data[at[0] : at[-1]], at - at[0]
-                words = W.find(data, at)
-                sides.append((W.Hasher(data)(words.start, words.end), words.at))
-            (x, xa), (y, ya) = sides
-            like = np.array([similarity(x[xa[r] : xa[r + 1]], y[ya[r] : ya[r + 1]], least) for r in range(batch.num_rows)])
+            like = np.zeros(batch.num_rows)
+            columns = [strings(batch.column(c)) for c in (2, 3)]
+            for i, j in slices(columns[0][1] + columns[1][1]):
+                sides = []
+                for data, at in columns:
+                    part = data[at[i] : at[j]]
+                    words = W.find(part, at[i : j + 1] - at[i])
+                    sides.append((W.Hasher(part)(words.start, words.end), words.at))
+                (x, xa), (y, ya) = sides
+                like[i:j] = [similarity(x[xa[r] : xa[r + 1]], y[ya[r] : ya[r + 1]], least) for r in range(j - i)]
             near = pa.array(like >= least)
             yield pa.record_batch([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(like).filter(near)], names=["a", "b", "likeness"])
 
