@@ -117,12 +117,15 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert groups.components(df.limit(0)).count() == 0
 
 
-def test_buckets_of_unlike_documents_are_compared_in_full(spark):
-    """Only 37 and 38 are near, and neither leads early for sure."""
+@pytest.mark.parametrize("block", [7, 256])
+def test_buckets_of_unlike_documents_are_compared_in_full(spark, monkeypatch, block):
+    """Of 60 documents in a bucket only 37 and 38 are near, and neither leads for sure."""
+    monkeypatch.setattr(groups, "BLOCK", block)
     members = spark.range(60).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("doc"))
-    links, labels = groups.link(members, lambda pairs: pairs.filter("a = 37 and b = 38").withColumn("likeness", F.lit(1.0)))
-    assert [(r.a, r.b) for r in links.distinct().collect()] == [(37, 38)]
-    assert [tuple(r) for r in labels.collect()] == [(38, 37)]
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    prepare = lambda data, at: [np.array([int(data[i:j].tobytes())]) for i, j in zip(at[:-1], at[1:], strict=True)]
+    like = lambda x, y: float({x[0], y[0]} == {37, 38})
+    assert [tuple(r) for r in groups.link(members, texts, prepare, like, 0.8).collect()] == [(37, 38, 1.0)]
 
 
 def shingled(text: str) -> set:

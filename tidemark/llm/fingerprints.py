@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.arrow import slices, text_slices
-from tidemark.llm.groups import components, link
+from tidemark.llm.groups import components, crowded, link
 from tidemark.llm.storage import written
 
 #: Words of a shingle, and the similarity from which documents are near.
@@ -178,23 +178,25 @@ def near_pairs(documents: DataFrame, threshold: float = NEAR) -> tuple[DataFrame
         for batch in it:
             for i, j, data, at in text_slices(batch.column(1), 1 << 18):
                 keys = signatures(data, at).view("<i8")  # four 16-bit places are one band
-                words = W.find(data, at)
-                x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
-                sets = [np.unique(x[to[d] : to[d + 1]]).view(np.int64) for d in range(j - i)]
-                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "keys", "shingles"])
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "keys"])
 
-    signed = written(rows.mapInArrow(banded, "doc_id long, k1 long, k2 long, keys array<long>, shingles array<long>"), "fingerprints")
+    signed = written(rows.mapInArrow(banded, "doc_id long, k1 long, k2 long, keys array<long>"), "fingerprints")
     firsts = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    copies = signed.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = written(signed.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
     own = signed.join(firsts, ["k1", "k2"]).filter("doc_id = first")
-    members = own.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("doc_id").alias("doc")).distinct()
-    sets = own.select("doc_id", "shingles").dropDuplicates(["doc_id"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("likeness")).filter(F.col("likeness") >= threshold)
-
-    links, _ = link(members, verify)
+    members = crowded(written(own.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("doc_id").alias("doc")).distinct(), "keys"))
+    texts = written(rows.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    links = link(members, texts, _shingle_sets, _jaccard, threshold)
     groups = components(links.select("a", "b").union(copies)).toDF("doc_id", "class_id")
     return links, groups.union(groups.select(F.col("class_id").alias("doc_id"), "class_id").distinct())
+
+
+def _shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    words = W.find(data, at)
+    x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
+    return [np.unique(s) for s in np.split(x, to[1:-1])]
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common)

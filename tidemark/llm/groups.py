@@ -1,23 +1,35 @@
 """Links among documents that share buckets, and their connected groups.
 
-A bucket of n documents is never expanded into its pairs. In rounds, a few of
-its documents (the leaders) are compared with the others, in other groups
-than their own; verified links merge groups. A bucket is done when all its
-documents are in one group, or when all have led. So copies cost one
-comparison each, and yet no link that would join two groups is lost.
+A bucket of n documents is never expanded into its pairs. First its documents
+are compared with one leader; the links make groups. What remains is between
+groups: in rounds, the largest groups of a bucket are compared with its other
+groups, document by document, in blocks of bounded size that stop at the
+first link. A group that has been compared leaves the bucket. So copies cost
+one comparison each, and yet no link that would join two groups is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import slices, strings
 from tidemark.llm.storage import written
 
-#: After each round so many times as many documents of an unfinished bucket have led.
-GROWTH = 4
+#: After each round so many times as many groups of an unfinished bucket have been compared.
+GROWTH = 8
+#: Documents of one group that a task compares with as many others, about.
+BLOCK = 256
+
+#: What a text is compared by: made for the texts of a buffer at once.
+Prepare = Callable[[np.ndarray, np.ndarray], list[np.ndarray]]
+#: How alike two of those are; below what is asked for, any smaller number.
+Like = Callable[[np.ndarray, np.ndarray], float]
+LINK = "a long, b long, low long, high long, likeness double"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,49 +48,117 @@ def components(edges: DataFrame) -> DataFrame:
 
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = star(both, "v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = written(large.filter("a != b").distinct(), "edges")
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = star(down, "true").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = written(small.select("e.*").filter("a != b").distinct(), "edges")
-        changed = any(x.join(y, ["a", "b"], "left_anti").limit(1).count() for x, y in ((after, edges), (edges, after)))
-        edges = after
-        if not changed:
+        large = star(both, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = star(written(large.distinct(), "edges"), "true").select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))))
+        edges = written(small.filter("a != b").distinct(), "edges")
+        # done when every node has one label, and no label has one itself
+        marks = edges.select(F.col("a").alias("node"), F.lit(1).alias("low")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("low")))
+        state = marks.groupBy("node").agg(F.min("low").alias("low"), F.sum("low").alias("labels"))
+        if not state.filter("labels > 1 or (labels = 1 and low = 0)").limit(1).count():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Groups of documents that share buckets: links ``(a, b, likeness)`` with a < b, and ``(node, label)`` of linked ones.
+def crowded(members: DataFrame) -> DataFrame:
+    """The rows ``(bucket, doc)`` of buckets with several documents, from a written table of distinct ones."""
+    sizes = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
+    return written(members.join(sizes, "bucket").select("bucket", "doc"), "members")
+
+
+def _prepared(column: pa.Array, prepare: Prepare) -> list[np.ndarray]:
+    data, at = strings(column)
+    return [x for i, j in slices(at) for x in prepare(data[at[i] : at[j]], at[i : j + 1] - at[i])]
+
+
+def _with_leaders(members: DataFrame, texts: DataFrame, prepare: Prepare, like: Like, least: float) -> DataFrame:
+    """Links between each bucket's leader and its other documents."""
+    # one order for all buckets, so that a group of copies has the same leader in each
+    first = F.min(F.struct(F.xxhash64("doc"), F.col("doc"))).alias("first")
+    leaders = written(members.groupBy("bucket").agg(first).select("bucket", F.col("first.doc").alias("leader")), "leaders")
+    met = members.join(leaders, "bucket").filter("doc != leader")
+    pairs = written(met.select("doc", "leader").distinct(), "pairs")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at = strings(batch.column(2))[1] + strings(batch.column(3))[1]
+            for i, j in slices(at):
+                part = batch.slice(i, j - i)
+                sides = (_prepared(part.column(c), prepare) for c in (2, 3))
+                found = np.array([like(x, y) for x, y in zip(*sides, strict=True)])
+                near = pa.array(found >= least)
+                yield _links(*(part.column(c).filter(near).to_numpy() for c in (0, 1)), *(part.column(c).filter(near).to_numpy() for c in (0, 1)), found[found >= least])
+
+    both = pairs.join(texts.toDF("doc", "text"), "doc").join(texts.toDF("leader", "leader_text"), "leader")
+    return both.select("doc", "leader", "text", "leader_text").mapInArrow(batches, LINK)
+
+
+def _links(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+    """Documents a and b of groups x and y are alike."""
+    low, high = (f(x, y).astype(np.int64) for f in (np.minimum, np.maximum))
+    return pa.record_batch([pa.array(f(a, b).astype(np.int64)) for f in (np.minimum, np.maximum)] + [pa.array(low), pa.array(high), pa.array(found.astype(np.float64))], names=["a", "b", "low", "high", "likeness"])
+
+
+def _between(candidates: DataFrame, docs: DataFrame, texts: DataFrame, prepare: Prepare, like: Like, least: float) -> DataFrame:
+    """A link, if there is one, for each block of each pair ``(main, other)`` of groups.
+
+    Each document of the main group is in one block, each of the others in
+    another; a task has one block of each side.
+    """
+    others = written(candidates.join(docs.toDF("doc", "other"), "other").select("main", "other", "doc"), "others")
+    mains = candidates.select("main").distinct().join(docs.toDF("doc", "main"), "main")
+    blocks = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = written(blocks(mains, "m").join(blocks(others, "o"), "main"), "block-counts")
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = mains.join(sizes, "main").select("main", own("m").alias("i"), every("o").alias("j"), "doc", F.col("main").alias("label"))
+    right = others.join(sizes, "main").select("main", every("m").alias("i"), own("o").alias("j"), "doc", F.col("other").alias("label"))
+    cells = left.union(right).join(texts.toDF("doc", "text"), "doc").select("main", "i", "j", "doc", "label", "text")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        doc, label, main = (cell.column(c).to_numpy() for c in ("doc", "label", "main"))
+        prepared = _prepared(cell.column("text").combine_chunks(), prepare)
+        mine, rest = np.flatnonzero(label == main), np.flatnonzero(label != main)
+        linked: dict[int, tuple[int, int, float]] = {}
+        for r in rest.tolist():
+            if label[r] in linked:
+                continue
+            for m in mine.tolist():
+                found = like(prepared[m], prepared[r])
+                if found >= least:
+                    linked[label[r]] = (m, r, found)
+                    break
+        at = np.array([(m, r) for m, r, _ in linked.values()], np.int64).reshape(-1, 2)
+        return pa.Table.from_batches([_links(doc[at[:, 0]], doc[at[:, 1]], label[at[:, 0]], label[at[:, 1]], np.array([f for *_, f in linked.values()]))])
+
+    return cells.groupBy("main", "i", "j").applyInArrow(compare, LINK)
+
+
+def link(members: DataFrame, texts: DataFrame, prepare: Prepare, like: Like, least: float) -> DataFrame:
+    """Links ``(a, b, likeness)``, a < b, that join the documents of buckets into groups.
 
-    ``members`` has ``(bucket, doc, size)``; documents whose sizes differ too
-    much for a link must be in different buckets or be refused by ``verify``,
-    which keeps the pairs ``(a, b)`` that are near and adds ``likeness``.
+    ``members`` has ``(bucket, doc)`` of crowded buckets, ``texts`` each
+    document's id and text. Two documents are linked if ``like`` of what
+    ``prepare`` makes of their texts is at least ``least``.
     """
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(members.join(written(crowded, "buckets"), "bucket").select("bucket", "doc", "n"), "members")
-    links, labels, led = None, None, 0
-    lead = 1
+    spark = members.sparkSession
+    links = spark.createDataFrame([], "a long, b long, likeness double")
+    docs = members.select("doc").distinct().withColumn("label", F.col("doc"))
+    near, lead = written(_with_leaders(members, texts, prepare, like, least), "links"), 1
     while True:
-        if labels is None:
-            current = members.withColumn("label", F.col("doc"))
-        else:
-            current = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        opened = current.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n")).filter((F.col("low") != F.col("high")) & (F.col("n") - 1 > led))
-        opened = written(opened.select("bucket"), "open")
-        if not opened.limit(1).count():
-            break
-        current = written(current.join(opened, "bucket"), "current")
-        # one order for all buckets, so that a group of copies has the same leader in each
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("doc"), "doc")
-        chosen = current.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= led + lead).filter(F.col("place") > led)
-        leaders = written(chosen.select("bucket", F.col("doc").alias("leader"), F.col("label").alias("leader_label")), "leaders")
-        met = current.join(leaders, "bucket").filter(F.col("label") != F.col("leader_label"))
-        pairs = written(met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct(), "pairs")
-        near = written(verify(pairs), "links")
-        links = near if links is None else links.union(near)
-        labels = written(components(links.select("a", "b")), "labels")
-        led, lead = led + lead, lead * GROWTH
-    if links is None:
-        spark = members.sparkSession
-        return spark.createDataFrame([], "a long, b long, likeness double"), spark.createDataFrame([], "node long, label long")
-    return links, labels
+        if not near.isEmpty():
+            links = links.union(near.select("a", "b", "likeness"))
+            merged = written(components(near.select(F.col("low").alias("a"), F.col("high").alias("b"))), "labels")
+            docs = docs.join(merged.toDF("label", "merged"), "label", "left").select("doc", F.coalesce("merged", "label").alias("label"))
+        docs = written(docs, "groups")
+        found = members.join(docs, "doc").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        order = Window.partitionBy("bucket").orderBy(F.col("n").desc(), "label")
+        ranked = written(found.withColumn("place", F.row_number().over(order)), "bucket-groups")
+        mains = written(ranked.filter(F.col("place") <= lead).select("bucket", F.col("label").alias("main"), F.col("place").alias("main_place")), "main-groups")
+        met = ranked.join(mains, "bucket").filter("place > main_place").select("main", F.col("label").alias("other"))
+        candidates = written(met.distinct(), "candidates")
+        if candidates.isEmpty():
+            return links
+        near = written(_between(candidates, docs, texts, prepare, like, least), "links")
+        # groups that have met all others of a bucket leave it
+        rest = ranked.filter(F.col("place") > lead).select("bucket", "label")
+        members = written(members.join(docs, "doc").join(rest, ["bucket", "label"]).select("bucket", "doc"), "members")
+        lead *= GROWTH

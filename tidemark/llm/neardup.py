@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import slices, strings, text_slices
-from tidemark.llm.groups import components, link
+from tidemark.llm.arrow import text_slices
+from tidemark.llm.groups import components, crowded, link
 from tidemark.llm.storage import written
 
 #: Words of a k-mer, and the similarity from which texts are near: 1 - edits / words of the longer.
 SHINGLE, NEAR = 5, 0.8
-#: Sketches of a text and k-mers in each. Of texts with 0.8 of their k-mers in common 1 pair in 10 million has no sketch in common.
-SKETCHES, KEPT = 24, 3
+#: Sketches of a text and k-mers in each. Of texts with 0.8 of their k-mers in common 1 pair in 500,000 has no sketch in common.
+SKETCHES, KEPT = 24, 4
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(19).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,31 +175,17 @@ def _sketched(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, k1 long, k2 long, size long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            like = np.zeros(batch.num_rows)
-            columns = [strings(batch.column(c)) for c in (2, 3)]
-            for i, j in slices(columns[0][1] + columns[1][1]):
-                sides = []
-                for data, at in columns:
-                    part = data[at[i] : at[j]]
-                    words = W.find(part, at[i : j + 1] - at[i])
-                    sides.append((W.Hasher(part)(words.start, words.end), words.at))
-                (x, xa), (y, ya) = sides
-                like[i:j] = [similarity(x[xa[r] : xa[r + 1]], y[ya[r] : ya[r + 1]], least) for r in range(j - i)]
-            near = pa.array(like >= least)
-            yield pa.record_batch([batch.column(0).filter(near), batch.column(1).filter(near), pa.array(like).filter(near)], names=["a", "b", "likeness"])
-
-    a, b = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(batches, "a long, b long, likeness double")
+def _word_hashes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    words = W.find(data, at)
+    return np.split(W.Hasher(data)(words.start, words.end), words.at[1:-1])
 
 
 def near_duplicates(documents: DataFrame, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b, likeness)`` between representatives of equal texts, and ``(doc_id, class_id)`` of documents in a group.
 
-    ``class_id`` is the least id of the group. Documents without a copy or a
-    near one are in neither table.
+    ``class_id`` is the least id of the group. Links are those that joined two
+    groups: pairs already in one aren't compared. Documents without a copy or
+    a near one are in neither table.
     """
     sketched = written(_sketched(documents), "sketches")
     equal = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
@@ -207,33 +193,26 @@ def near_duplicates(documents: DataFrame, least: float = NEAR) -> tuple[DataFram
     same = sketched.select("doc_id", "k1", "k2").join(copied, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     same = written(same.distinct(), "copy-links")
     firsts = sketched.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    members = firsts.select(F.col("doc_id").alias("doc"), "size", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc", "size").distinct()
-    members = written(members, "buckets")
-    crowded = written(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "crowded")
-    involved = members.join(crowded, "bucket").select(F.col("doc").alias("doc_id")).distinct()
+    keyed = firsts.select(F.col("doc_id").alias("doc"), F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc").distinct()
+    members = crowded(written(keyed, "keys"))
+    involved = written(members.select(F.col("doc").alias("doc_id")).distinct(), "involved")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "doc_id")
     texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links, _ = link(members.join(crowded, "bucket").select("bucket", "doc", "size"), lambda pairs: _verified(pairs, texts, least))
+    links = link(members, texts, _word_hashes, lambda x, y: similarity(x, y, least), least)
     classes = components(links.select("a", "b").union(same))
     whole = classes.select(F.col("node").alias("doc_id"), F.col("label").alias("class_id"))
     return links, whole.union(whole.select(F.col("class_id").alias("doc_id"), "class_id").distinct())
 
 
 def classes(documents: DataFrame, least: float = NEAR) -> DataFrame:
-    """Every row's doc_id with the class_id of its group, which is its own id if it is alone, and its number of links."""
-    links, groups = near_duplicates(documents, least)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    known = written(groups.join(degree, "doc_id", "left"), "classes")
+    """Every row's doc_id with the class_id of its group, which is its own id if it is alone."""
+    known = written(near_duplicates(documents, least)[1], "classes")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(documents: DataFrame, least: float = NEAR) -> DataFrame:
-    """The documents without those that are near one of a smaller id in their group; of equal rows with one id the first stays.
-
-    Rows with a null id stay.
-    """
+    """The documents whose id is their class's, so one of each group. Rows that share that id all stay, as do rows with a null id."""
     _, groups = near_duplicates(documents, least)
-    gone = groups.filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id"))
-    kept = documents.join(written(gone, "gone"), documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
-    return kept
+    gone = written(groups.filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    return documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

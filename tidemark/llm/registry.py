@@ -97,7 +97,7 @@ ORACLE_SQL["op2_line_dedup"] = lines.ORACLE_SQL
 
 @query
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's class of near-duplicates and its number of links to representatives of other texts."""
+    """Every document's class of near-duplicates."""
     return neardup.classes(table(spark, folder, "documents"))
 
 
