@@ -19,6 +19,8 @@ lines all go becomes empty. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,41 @@ from tidemark.llm.storage import written
 #: Lines of fewer words only go if an earlier one is the same: one word would be too much of them.
 MIN_WORDS = 10
 
+#: Lines of so many words or more get their keys from running hashes, whose cost grows more slowly with the length; shorter ones from parts of the line.
+LONG_WORDS = 1024
+
 #: Fixed: characters between words.
-BLANKS = r"[ \t\r\f\x0B]+"
+BLANKS = " \t\r\f\x0b"
 
 _LEAST = -(1 << 63)
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS, -1), lambda w: w != "")
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _normal(line: Column) -> Column:
+    """The line's words between single spaces. Most lines are so already."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for c in BLANKS[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.trim(F.regexp_replace(line, f"[{BLANKS}]+", " "))).otherwise(line)
+
+
+def _count(line: Column) -> Column:
+    """Words of a normal line."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+
+
+def _lines(text: Column) -> Column:
+    """Places, normal lines and numbers of words, made before they are exploded: columns of expressions would be computed wherever they are used."""
+    return F.transform(F.split(text, "\n", -1), lambda raw, i: _bound(_normal(raw), lambda line: F.struct(i.alias("pos"), line.alias("line"), _count(line).alias("n"))))
+
+
+def _part(line: Column, words: Column) -> Column:
+    """The first words of a normal line, or for a negative number the last."""
+    return F.call_function("substring_index", line, F.lit(" "), words)
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -43,77 +72,111 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text, F.length(text)).alias("hash"), text.alias("text"))
 
 
-def _halves(words: Column, n: Column) -> list[Column]:
+def _halves(line: Column, n: Column) -> dict[str, Column]:
     """Keys of the first and the last words, at both lengths that a line one edit apart can have as its half."""
-    near = n >= MIN_WORDS
-    keys = []
-    for half, wanted in ((F.floor(n / 2), near), (F.floor((n - 1) / 2), near & (n % 2 == 0))):
+    keys = {}
+    for name, half, wanted in (("a", F.floor(n / 2), n >= MIN_WORDS), ("b", F.floor((n - 1) / 2), (n >= MIN_WORDS) & (n % 2 == 0))):
         half = half.cast("int")
-        keys.append(F.when(wanted, F.xxhash64(F.lit("first"), half, F.slice(words, F.lit(1), half))))
-        keys.append(F.when(wanted, F.xxhash64(F.lit("last"), half, F.slice(words, n - half + 1, half))))
+        keys[f"first_{name}"] = F.when(wanted, F.xxhash64(F.lit("first"), half, _part(line, half)))
+        keys[f"last_{name}"] = F.when(wanted, F.xxhash64(F.lit("last"), half, _part(line, -half)))
     return keys
 
 
 def _chain(words: Column) -> Column:
-    """Hashes of the first 0, 1, 2, ... words."""
+    """Hashes of the first 0, 1, 2, ... words, in runs of about the root of their number, so that only short arrays are extended."""
+    follow = lambda h, w: F.xxhash64(w, h)
+    extend = lambda hashes, w: F.concat(hashes, F.array(F.xxhash64(w, F.element_at(hashes, -1))))
     start = F.array(F.lit(7).cast("bigint"))
-    return F.aggregate(words, start, lambda hashes, w: F.concat(hashes, F.array(F.xxhash64(w, F.element_at(hashes, -1)))))
 
+    def cut(size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / size).cast("int")), lambda k: F.slice(words, k * size + 1, size))
+
+    def hashes(runs: Column) -> Column:
+        starts = F.aggregate(runs, start, lambda done, run: F.concat(done, F.array(F.aggregate(run, F.element_at(done, -1), follow))))
+        within = lambda at: F.zip_with(F.slice(at, F.lit(1), F.size(runs)), runs, lambda h, run: F.slice(F.aggregate(run, F.array(h), extend), F.lit(1), F.size(run)))
+        return _bound(starts, lambda at: F.concat(F.flatten(within(at)), F.array(F.element_at(at, -1))))
+
+    return _bound(_bound(F.ceil(F.sqrt(F.size(words))).cast("int"), cut), hashes)
 
-def _keys(words: Column) -> Column:
-    """A key for each cut, of the words before it and behind it: with no word left out, and with one."""
-    before, behind = _chain(words), F.reverse(_chain(F.reverse(words)))
-    whole = F.zip_with(F.sequence(F.lit(0), F.size(words)), F.arrays_zip(before.alias("a"), behind.alias("b")), lambda i, h: F.xxhash64(i, h["a"], h["b"]))
-    rest = F.arrays_zip(F.slice(before, F.lit(1), F.size(words)).alias("a"), F.slice(behind, F.lit(2), F.size(words)).alias("b"))
-    without = F.zip_with(F.sequence(F.lit(0), F.size(words) - 1), rest, lambda i, h: F.xxhash64(i, h["a"], h["b"]))
-    return F.concat(whole, without)
+
+def _long_keys(line: Column) -> Column:
+    def paired(words: Column) -> Column:
+        n = F.size(words)
+
+        def keys(both: Column) -> Column:
+            before, behind = both["before"], F.reverse(both["behind"])
+            whole = F.zip_with(F.sequence(F.lit(0), n), F.arrays_zip(before.alias("a"), behind.alias("b")), lambda i, h: F.xxhash64(i, h["a"], h["b"]))
+            shifted = F.arrays_zip(F.slice(before, F.lit(1), n).alias("a"), F.slice(behind, F.lit(2), n).alias("b"))
+            return F.concat(whole, F.zip_with(F.sequence(F.lit(0), n - 1), shifted, lambda i, h: F.xxhash64(i, h["a"], h["b"])))
+
+        return _bound(F.struct(_chain(words).alias("before"), _chain(F.reverse(words)).alias("behind")), keys)
+
+    return _bound(F.split(line, " "), paired)
+
+
+def _keys(line: Column, n: Column, first: Column, last: Column) -> Column:
+    """A key for each cut, of the words before it and behind it: with no word left out, and with one.
+
+    A line whose first half is shared is cut in the last one, and the other
+    way round: there the edit is.
+    """
+    low = F.when(last, 0).otherwise(F.floor((n - 1) / 2)).cast("int")
+    high = F.when(first, n).otherwise(F.floor((n + 1) / 2)).cast("int")
+    whole = F.transform(F.sequence(low, high), lambda i: F.xxhash64(i, _part(line, i), _part(line, i - n)))
+    without = F.transform(F.sequence(low, F.least(high, n - 1)), lambda i: F.xxhash64(i, _part(line, i), _part(line, i - n + 1)))
+    none = F.array().cast("array<bigint>")
+    # lines of exactly that length have keys of both kinds, to meet lines of one word less or more
+    short = F.when(n <= LONG_WORDS, F.concat(whole, without)).otherwise(none)
+    return F.concat(short, F.when(n >= LONG_WORDS, _long_keys(line)).otherwise(none))
 
 
 def one_edit(a: Column, b: Column) -> Column:
     """Whether two arrays of words are at most one word apart: alike up to a place, and behind it with one word of the longer left out."""
-    long, short = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    same = F.zip_with(F.slice(long, F.lit(1), F.size(short)), short, lambda x, y: x == y)
-    place = F.array_position(same, F.lit(False)).cast("int")
-    at = F.when(place == 0, F.size(short) + 1).otherwise(place)
-    behind_long = F.slice(long, at + 1, F.size(long))
-    behind_short = F.slice(short, at + F.when(F.size(long) == F.size(short), 1).otherwise(0), F.size(long))
-    return (F.size(long) - F.size(short) <= 1) & (behind_long == behind_short)
+
+    def compared(x: Column) -> Column:
+        long, short = x["long"], x["short"]
+        same = F.zip_with(F.slice(long, F.lit(1), F.size(short)), short, lambda p, q: p == q)
+        unlike = F.array_position(same, F.lit(False)).cast("int")
+
+        def rest(at: Column) -> Column:
+            beyond = F.when(F.size(long) == F.size(short), 1).otherwise(0)
+            return F.slice(long, at + 1, F.size(long)) == F.slice(short, at + beyond, F.size(long))
+
+        return (F.size(long) - F.size(short) <= 1) & _bound(F.when(unlike == 0, F.size(short) + 1).otherwise(unlike), rest)
+
+    ordered = F.when(F.size(a) >= F.size(b), F.struct(a.alias("long"), b.alias("short"))).otherwise(F.struct(b.alias("long"), a.alias("short")))
+    return _bound(ordered, compared)
 
 
 def duplicates(documents: DataFrame) -> DataFrame:
     """Lines that go: ``id``, ``hash`` and the places ``gone`` in the text, from 0."""
     rows = _rows(documents)
-    words = _words(F.col("line"))
-    split = rows.select("id", "hash", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).select("id", "hash", "pos", words.alias("words"))
-    n = F.size("words")
-    first_a, last_a, first_b, last_b = _halves(F.col("words"), n)
+    counted = rows.select("id", "hash", F.inline(_lines(F.col("text")))).filter("n > 0")
+    halves = _halves(F.col("line"), F.col("n"))
     # one pass over the texts: from here on a line is a few numbers
-    lines = written(
-        split.filter(n > 0).select(
-            "id", "hash", "pos", n.alias("n"), F.xxhash64("words").alias("k1"), F.hash("words").alias("k2"), first_a.alias("first_a"), last_a.alias("last_a"), first_b.alias("first_b"), last_b.alias("last_b")
-        ),
-        "lines",
-    )
-    halves = ["first_a", "last_a", "first_b", "last_b"]
+    lines = written(counted.select("id", "hash", "pos", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"), *(c.alias(name) for name, c in halves.items())), "lines")
     earliest = F.min(F.struct("id", "hash", "pos")).alias("line")
     distinct = written(lines.groupBy("k1", "k2").agg(earliest, F.count("*").alias("times"), *(F.min(h).alias(h) for h in halves)), "distinct-lines")
 
     repeated = distinct.filter("times > 1").select("k1", "k2", F.col("line").alias("kept"))
     copies = lines.select("id", "hash", "pos", "k1", "k2").join(repeated, ["k1", "k2"]).filter(F.struct("id", "hash", "pos") > F.col("kept")).select("id", "hash", "pos")
 
-    half = distinct.select("line", F.explode(F.array(*halves)).alias("half")).filter("half is not null")
+    sides = F.array(*(F.struct(F.col(h).alias("half"), F.lit(h.startswith("first")).alias("first")) for h in halves))
+    half = distinct.select("line", F.inline(sides)).filter("half is not null")
     shared = written(half.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half"), "shared-halves")
-    likely = half.join(shared, "half").select("line.*").distinct()
-    wanted = likely.groupBy("id", "hash").agg(F.collect_list("pos").alias("places"))  # of one text
+    likely = half.join(shared, "half").groupBy("line").agg(F.max("first").alias("first"), F.max(~F.col("first")).alias("last"))
+    wanted = likely.groupBy("line.id", "line.hash").agg(F.collect_list(F.struct("line.pos", "first", "last")).alias("places"))  # of one text
     found = rows.join(wanted, ["id", "hash"]).dropDuplicates(["id", "hash"])
-    picked = found.select("id", "hash", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), _words(F.get(F.split("text", "\n", -1), p)).alias("words")))).alias("x"))
-    candidates = written(picked.select(F.struct("id", "hash", "x.pos").alias("line"), "x.words"), "near-lines")
+    each = found.select("id", "hash", F.map_from_entries(F.transform("places", lambda p: F.struct(p["pos"], F.struct(p["first"], p["last"])))).alias("sides"), F.inline(_lines(F.col("text"))))
+    picked = each.withColumn("side", F.try_element_at("sides", "pos")).filter("side is not null")
+    candidates = written(picked.select(F.struct("id", "hash", "pos").alias("line"), F.col("line").alias("words"), "n", F.col("side.first"), F.col("side.last")), "near-lines")
 
-    keyed = candidates.select("line", F.explode(_keys(F.col("words"))).alias("key"))
+    keyed = candidates.select("line", F.explode(_keys(F.col("words"), F.col("n"), F.col("first"), F.col("last"))).alias("key"))
     met = written(keyed.groupBy("key").agg(F.min("line").alias("kept"), F.count("*").alias("lines")).filter("lines > 1").select("key", "kept"), "equal-variants")
     pairs = keyed.join(met, "key").filter(F.col("line") > F.col("kept")).groupBy("line").agg(F.min("kept").alias("kept"))
-    both = pairs.join(candidates, "line").join(candidates.toDF("kept", "kept_words"), "kept")
-    near = both.filter(one_edit(F.col("words"), F.col("kept_words"))).select("line.*")
+    texts = candidates.select("line", "words")
+    both = pairs.join(texts, "line").join(texts.toDF("kept", "kept_words"), "kept")
+    near = both.filter(one_edit(F.split("words", " "), F.split("kept_words", " "))).select("line.*")
 
     return copies.union(near).groupBy("id", "hash").agg(F.collect_set("pos").alias("gone"))
 
