@@ -175,3 +175,16 @@ def test_edits_of_edge_rows(spark, parts):
     (alone,) = fingerprints.edits(frame(spark, [(3, "abc def")]), parts).collect()
     assert alone.edited == "abc abc" and alone.near_next == 1
     assert {r.fingerprint for r in fingerprints.fingerprint(frame(spark, rows)).collect()} == {r.fingerprint for r in got}
+
+
+def test_groups_of_several_meet_by_any_of_their_documents(spark):
+    """Two groups whose leaders are unlike are joined by a link between other documents."""
+    chains = [(0, 1), (0, 2), (0, 3), (10, 11), (10, 12), (3, 12)]
+    near = {frozenset(p) for p in chains}
+    members = spark.createDataFrame([(b, d) for b, docs in {1: [0, 1, 2, 3], 2: [10, 11, 12], 3: [0, 1, 2, 3, 10, 11, 12], 4: [3, 12, 20], 5: [20, 21]}.items() for d in docs], "bucket long, doc long")
+    texts = spark.createDataFrame([(d, str(d)) for d in (0, 1, 2, 3, 10, 11, 12, 20, 21)], "doc_id long, text string")
+    prepare = lambda data, at: [np.array([int(data[i:j].tobytes())]) for i, j in zip(at[:-1], at[1:], strict=True)]
+    like = lambda x, y: float(frozenset((int(x[0]), int(y[0]))) in near)
+    links = groups.link(members, texts, prepare, like, 0.8)
+    got = {r.node: r.label for r in groups.components(links.select("a", "b")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 10: 0, 11: 0, 12: 0}

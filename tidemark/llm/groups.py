@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import slices, strings
 from tidemark.llm.storage import written
 
-#: After each round so many times as many groups of an unfinished bucket have been compared.
+#: A bucket's largest group meets its others first; each later round takes so many times as many groups.
 GROWTH = 8
 #: Documents of one group that a task compares with as many others, about.
 BLOCK = 256
@@ -98,19 +98,18 @@ def _links(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, found: np
 
 
 def _between(candidates: DataFrame, docs: DataFrame, texts: DataFrame, prepare: Prepare, like: Like, least: float) -> DataFrame:
-    """A link, if there is one, for each block of each pair ``(main, other)`` of groups.
+    """A link, if there is one, for each block of each pair of groups ``(main, other, main_size, other_size)``.
 
     Each document of the main group is in one block, each of the others in
     another; a task has one block of each side.
     """
-    others = written(candidates.join(docs.toDF("doc", "other"), "other").select("main", "other", "doc"), "others")
-    mains = candidates.select("main").distinct().join(docs.toDF("doc", "main"), "main")
-    blocks = lambda rows, name: rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = written(blocks(mains, "m").join(blocks(others, "o"), "main"), "block-counts")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = written(candidates.groupBy("main").agg(blocks(F.max("main_size")).alias("m"), blocks(F.sum("other_size")).alias("o")), "block-counts")
     own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = mains.join(sizes, "main").select("main", own("m").alias("i"), every("o").alias("j"), "doc", F.col("main").alias("label"))
-    right = others.join(sizes, "main").select("main", every("m").alias("i"), own("o").alias("j"), "doc", F.col("other").alias("label"))
+    left = docs.toDF("doc", "main").join(sizes, "main").select("main", own("m").alias("i"), every("o").alias("j"), "doc", F.col("main").alias("label"))
+    others = candidates.join(sizes, "main").select("main", "m", "o", "other").join(docs.toDF("doc", "other"), "other")
+    right = others.select("main", every("m").alias("i"), own("o").alias("j"), "doc", F.col("other").alias("label"))
     cells = left.union(right).join(texts.toDF("doc", "text"), "doc").select("main", "i", "j", "doc", "label", "text")
 
     def compare(cell: pa.Table) -> pa.Table:
@@ -148,17 +147,21 @@ def link(members: DataFrame, texts: DataFrame, prepare: Prepare, like: Like, lea
             links = links.union(near.select("a", "b", "likeness"))
             merged = written(components(near.select(F.col("low").alias("a"), F.col("high").alias("b"))), "labels")
             docs = docs.join(merged.toDF("label", "merged"), "label", "left").select("doc", F.coalesce("merged", "label").alias("label"))
-        docs = written(docs, "groups")
-        found = members.join(docs, "doc").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        docs = written(docs.join(docs.groupBy("label").agg(F.count("*").alias("size")), "label"), "groups")
+        found = members.join(docs, "doc").groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+        docs = docs.select("doc", "label")
         order = Window.partitionBy("bucket").orderBy(F.col("n").desc(), "label")
-        ranked = written(found.withColumn("place", F.row_number().over(order)), "bucket-groups")
-        mains = written(ranked.filter(F.col("place") <= lead).select("bucket", F.col("label").alias("main"), F.col("place").alias("main_place")), "main-groups")
-        met = ranked.join(mains, "bucket").filter("place > main_place").select("main", F.col("label").alias("other"))
-        candidates = written(met.distinct(), "candidates")
+        ranked = written(found.select("bucket", F.row_number().over(order).alias("place"), F.struct("size", F.col("label").alias("id")).alias("group")), "bucket-groups")
+        mains = written(ranked.filter(F.col("place") <= lead).select("bucket", F.col("group").alias("main"), F.col("place").alias("main_place")), "main-groups")
+        met = ranked.join(mains, "bucket").filter("place > main_place").select("main", F.col("group").alias("other"))
+        # the smaller group of a pair goes to the blocks of the larger one, wherever they met
+        large, small = F.greatest("main", "other"), F.least("main", "other")
+        pair = met.select(large["id"].alias("main"), small["id"].alias("other"), large["size"].alias("main_size"), small["size"].alias("other_size"))
+        candidates = written(pair.distinct(), "candidates")
         if candidates.isEmpty():
             return links
         near = written(_between(candidates, docs, texts, prepare, like, least), "links")
         # groups that have met all others of a bucket leave it
-        rest = ranked.filter(F.col("place") > lead).select("bucket", "label")
+        rest = ranked.filter(F.col("place") > lead).select("bucket", F.col("group.id").alias("label"))
         members = written(members.join(docs, "doc").join(rest, ["bucket", "label"]).select("bucket", "doc"), "members")
         lead *= GROWTH

@@ -31,7 +31,7 @@ from tidemark.llm.storage import written
 
 #: Words of a k-mer, and the similarity from which texts are near: 1 - edits / words of the longer.
 SHINGLE, NEAR = 5, 0.8
-#: Sketches of a text and k-mers in each. Of texts with 0.8 of their k-mers in common 1 pair in 500,000 has no sketch in common.
+#: Sketches of a text and k-mers in each. Of texts with 0.8 of their k-mers in common 1 pair in 300,000 has no sketch in common.
 SKETCHES, KEPT = 24, 4
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
