@@ -81,6 +81,57 @@ def test_classes_equal_all_pairs(spark, family):
     assert got == least([i for i, _ in family], links)
 
 
+def replaced(rnd: random.Random, words: list[str], places) -> list[str]:
+    words = list(words)
+    for at in places:
+        words[at] = f"n{rnd.randint(0, 10**6)}"
+    return words
+
+
+def share_a_key(pairs) -> np.ndarray:
+    texts = [" ".join(t) for p in pairs for t in p]
+    sets = []
+    for *_, data, at in text_slices(pa.array(texts)):
+        found, to, _ = neardup.keys(data, at)
+        sets += [set(x.tolist()) for x in np.split(found, to[1:-1])]
+    return np.array([bool(x & y) for x, y in zip(sets[::2], sets[1::2], strict=True)])
+
+
+def test_texts_at_the_threshold_are_candidates():
+    """A fifth of the words replaced, here and there or every fifth: all pairs are near, nearly all have a key in common."""
+    rnd = random.Random(11)
+    bases = [sentence(rnd, rnd.randint(50, 400)).split() for _ in range(300)]
+    spread = [(w, replaced(rnd, w, rnd.sample(range(len(w)), len(w) // 5))) for w in bases]
+    even = [(w, replaced(rnd, w, range(2, len(w) // 5 * 5, 5))) for w in bases]
+    assert all(neardup.similarity(*(np.unique(a + b, return_inverse=True)[1][s] for s in (slice(len(a)), slice(len(a), None)))) >= 0.8 for a, b in spread + even)
+    assert share_a_key(spread).mean() >= 0.99
+    assert share_a_key(even).mean() >= 0.95
+
+
+def test_all_near_pairs_of_short_texts_are_candidates():
+    rnd = random.Random(12)
+    pairs = []
+    while len(pairs) < 3000:
+        a = sentence(rnd, rnd.randint(1, neardup.SHORT)).split()
+        b = edited(rnd, a, rnd.randint(0, len(a) // 5 + 1))
+        if 0 < len(b) <= neardup.SHORT and plain_distance(a, b) <= max(len(a), len(b)) // 5:
+            pairs.append((a, b))
+    assert share_a_key(pairs).all()
+
+
+def test_classes_of_short_and_heavily_edited_texts_equal_all_pairs(spark):
+    rnd = random.Random(13)
+    rows = []
+    for _ in range(60):
+        words = sentence(rnd, rnd.randint(5, 90)).split()
+        rows += [" ".join(words), " ".join(replaced(rnd, words, rnd.sample(range(len(words)), len(words) // 5)))]
+    rows = list(enumerate(rows))
+    links = [(i, j) for i, a in rows for j, b in rows if i < j and plain_distance(a.split(), b.split()) <= max(len(a.split()), len(b.split())) // 5]
+    assert len(links) >= 60
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, rows)).collect()}
+    assert got == least([i for i, _ in rows], links)
+
+
 def test_one_of_each_group_stays(spark, family):
     docs = frame(spark, family)
     got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
