@@ -69,3 +69,17 @@ def test_edges(spark):
     (last,) = (r for r in got if r.doc_id == 8)
     assert last.labels == ["all-rights-reserved", "apache", "licensed-under"] and [(p.word, p.label) for p in last.places] == [(6, "apache")]
     assert licenses.find(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("SPDX-License-Identifier: (MIT OR\nApache-2.0)\nnext line", {"spdx:mit", "spdx:apache-2.0"}),
+    ("# SPDX-License-Identifier: (MIT\r\n#   OR Apache-2.0) AND\r\n# ISC\r\n# more", {"spdx:mit", "spdx:apache-2.0", "spdx:isc"}),
+    ("/* SPDX-License-Identifier: MIT OR\n * ISC\n */", {"spdx:mit", "spdx:isc"}),
+    ("/* SPDX-License-Identifier: MIT OR\n */ int x;", {"spdx:mit"}),
+    ("SPDX-License-Identifier: MIT AND", {"spdx:mit"}),
+    ("SPDX-License-Identifier: MIT OR\n\nA new paragraph", {"spdx:mit"}),
+    ("SPDX-License-Identifier: MIT\nOR Apache-2.0", {"spdx:mit"}),
+    ("SPDX-License-Identifier: (MIT OR\nISC", {"unparsed"}),
+])
+def test_expressions_over_line_ends(text, labels):
+    assert licenses.scan(text).labels == labels

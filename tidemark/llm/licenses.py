@@ -9,7 +9,10 @@ its choices leave the reader are evaluated: ``OR`` takes its freest side,
 Words are runs of digits, letters and characters beyond ASCII, with A-Z in
 lower case; a phrase is found where its words stand consecutively, whatever
 stands between them. Null and empty texts have no words and no labels, and
-score 0. An expression that can't be parsed gives the label ``unparsed``.
+score 0. An expression goes on over a line end, but not over a blank line,
+while a parenthesis is open or an operator waits for its operand; an operator
+left without one is dropped. An expression that can't be parsed gives the
+label ``unparsed``.
 Ties and repeated rows don't matter: each row is scanned by its text alone.
 An empty table gives an empty result.
 """
@@ -72,14 +75,21 @@ class Unparsed(ValueError):
 
 
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+_TOKEN = re.compile(r"[^\S\n]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+#: A line end, and the mark of a comment that may go on behind it.
+_LINE_END = re.compile(r"[^\S\n]*\n[^\S\n]*(?:\*(?!/)|#+|;+|%+|//+|--+)?")
 
 
-def tokens(line: str) -> list[str]:
-    """The longest run of tokens that alternate as an expression's do, from the line's start."""
+def tokens(text: str, at: int = 0) -> list[str]:
+    """The longest run of tokens that alternate as an expression's do, from ``at``; the line's end ends it if it could be whole there."""
     found: list[str] = []
-    at, operand, depth = 0, True, 0
-    while m := _TOKEN.match(line, at):
+    operand, depth = True, 0
+    while True:
+        m = _TOKEN.match(text, at)
+        if not m and found and (operand or depth) and (end := _LINE_END.match(text, at)):
+            m = _TOKEN.match(text, end.end())
+        if not m:
+            break
         x = m[1]
         is_operator = x.lower() in _BINDS
         if x == ")" and depth == 0 or operand != (x == "(" or not is_operator and x != ")"):
@@ -88,6 +98,8 @@ def tokens(line: str) -> list[str]:
         operand = x == "(" or is_operator
         found.append(x)
         at = m.end()
+    while found and found[-1].lower() in _BINDS:
+        found.pop()
     return found
 
 
@@ -185,7 +197,7 @@ def scan(text: str) -> Scan:
     doubt *= (1 - EVIDENCE["base"]) ** len({label for _, label in out.base}) * (1 - EVIDENCE["notice"]) ** len(notices)
     if any(kind == "tag" for _, kind, _ in hits):
         for m in _TAG.finditer(text):
-            parts = tokens(text[m.end() :].split("\n", 1)[0])
+            parts = tokens(text, m.end())
             try:
                 names, free = evaluate(postfix(parts))
             except Unparsed:
