@@ -7,7 +7,6 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from common import DATA, edge_rows, frame, sentence
-from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, groups, neardup, registry
 from tidemark.llm.arrow import text_slices
@@ -56,7 +55,7 @@ def test_banded_distance_equals_the_plain_one():
 def test_sketches_know_order_and_repetition():
     a = "a b c d e f g h i j k l m n o p q r s t".split()
     texts = [" ".join(x) for x in (a, a, a[10:] + a[:10], [w.upper() for w in a], ["z"] * 30, ["z"] * 40, ["q"], [])]
-    (keys,) = (neardup.sketches(data, at)[0] for *_, data, at in text_slices(pa.array(texts)))
+    (keys,) = (neardup.sketches(*neardup._words(data, at)) for *_, data, at in text_slices(pa.array(texts)))
     same = lambda i, j: int((keys[i] == keys[j]).sum())
     assert same(0, 1) == same(0, 3) == neardup.SKETCHES and same(0, 2) < neardup.SKETCHES
     assert same(4, 5) < neardup.SKETCHES and same(6, 7) == 0
@@ -92,7 +91,7 @@ def share_a_key(pairs) -> np.ndarray:
     texts = [" ".join(t) for p in pairs for t in p]
     sets = []
     for *_, data, at in text_slices(pa.array(texts)):
-        found, to, _ = neardup.keys(data, at)
+        found, to = neardup.keys(*neardup._words(data, at))
         sets += [set(x.tolist()) for x in np.split(found, to[1:-1])]
     return np.array([bool(x & y) for x, y in zip(sets[::2], sets[1::2], strict=True)])
 
@@ -168,15 +167,54 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert groups.components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 256])
-def test_buckets_of_unlike_documents_are_compared_in_full(spark, monkeypatch, block):
-    """Of 60 documents in a bucket only 37 and 38 are near, and neither leads for sure."""
-    monkeypatch.setattr(groups, "BLOCK", block)
-    members = spark.range(60).select(F.lit(1).cast("long").alias("bucket"), F.col("id").alias("doc"))
-    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+def numbered(near) -> groups.Measure:
+    """Texts that are numbers, alike if ``near`` has the pair."""
     prepare = lambda data, at: [np.array([int(data[i:j].tobytes())]) for i, j in zip(at[:-1], at[1:], strict=True)]
-    like = lambda x, y: float({x[0], y[0]} == {37, 38})
-    assert [tuple(r) for r in groups.link(members, texts, prepare, like, 0.8).collect()] == [(37, 38, 1.0)]
+    return groups.Measure(None, prepare, lambda x, y: float(frozenset((int(x[0]), int(y[0]))) in near), lambda larger, _: 0 * larger, 0.8)
+
+
+def linked(spark, buckets: dict, near) -> tuple[list, dict]:
+    keyed = spark.createDataFrame([(b, d) for b, docs in buckets.items() for d in docs], "bucket long, doc long")
+    ids = sorted({d for docs in buckets.values() for d in docs})
+    docs = spark.createDataFrame([(d, 1, bytearray(groups.BINS)) for d in ids], "doc long, size long, sign binary")
+    texts = spark.createDataFrame([(d, str(d)) for d in ids], "doc long, text string")
+    links, labels = groups.link(groups.crowded(keyed), docs, texts, numbered({frozenset(p) for p in near}))
+    return sorted(map(tuple, links.collect())), {r.node: r.label for r in labels.collect()}
+
+
+@pytest.mark.parametrize(("block", "task"), [(7, 100), (20, 1), (256, 10**6)])
+def test_buckets_of_unlike_documents_are_compared_in_full(spark, monkeypatch, block, task):
+    """Of 60 documents in a bucket only 37 and 38 are near, and neither leads."""
+    monkeypatch.setattr(groups, "BLOCK", block)
+    monkeypatch.setattr(groups, "TASK", (task, task))
+    assert linked(spark, {1: range(60)}, [(37, 38)]) == ([(37, 38, 1.0)], {38: 37})
+
+
+def test_blocks_are_bounded_by_features_too(spark, monkeypatch):
+    monkeypatch.setattr(groups, "FEATURES", 5)
+    assert linked(spark, {1: range(30), 2: [3, 99]}, [(7, 20), (3, 99), (20, 21)])[1] == {20: 7, 21: 7, 99: 3}
+
+
+def test_groups_of_several_meet_by_any_of_their_documents(spark):
+    """Two groups whose leaders are unlike are joined by a link between other documents."""
+    buckets = {1: [0, 1, 2, 3], 2: [10, 11, 12], 3: [0, 1, 2, 3, 10, 11, 12], 4: [3, 12, 20], 5: [20, 21], 6: [12, 3, 20]}
+    links, labels = linked(spark, buckets, [(0, 1), (0, 2), (0, 3), (10, 11), (10, 12), (3, 12)])
+    assert labels == {1: 0, 2: 0, 3: 0, 10: 0, 11: 0, 12: 0} and len(links) == 6
+
+
+def test_signatures_never_rule_out_a_near_pair():
+    rnd = random.Random(14)
+    for measure, alike in ((neardup.measure(), lambda a, b: 1 - plain_distance(a, b) / max(len(a), len(b))), (fingerprints.measure(), lambda a, b: jaccard(" ".join(a), " ".join(b)))):
+        ruled_out = 0
+        for _ in range(300):
+            a = sentence(rnd, rnd.randint(5, 120)).split()
+            b = edited(rnd, a, rnd.randint(0, len(a))) or ["x"]
+            data, at = fingerprints._texts([" ".join(a), " ".join(b)])
+            size, sign, *_ = measure.describe(data, at)
+            possible = groups._possible(size[:1], size[1:], groups._distance(sign[:1], sign[1:]), measure)[0]
+            assert possible or alike(a, b) < 0.8
+            ruled_out += not possible
+        assert ruled_out > 30
 
 
 def shingled(text: str) -> set:
@@ -226,16 +264,3 @@ def test_edits_of_edge_rows(spark, parts):
     (alone,) = fingerprints.edits(frame(spark, [(3, "abc def")]), parts).collect()
     assert alone.edited == "abc abc" and alone.near_next == 1
     assert {r.fingerprint for r in fingerprints.fingerprint(frame(spark, rows)).collect()} == {r.fingerprint for r in got}
-
-
-def test_groups_of_several_meet_by_any_of_their_documents(spark):
-    """Two groups whose leaders are unlike are joined by a link between other documents."""
-    chains = [(0, 1), (0, 2), (0, 3), (10, 11), (10, 12), (3, 12)]
-    near = {frozenset(p) for p in chains}
-    members = spark.createDataFrame([(b, d) for b, docs in {1: [0, 1, 2, 3], 2: [10, 11, 12], 3: [0, 1, 2, 3, 10, 11, 12], 4: [3, 12, 20], 5: [20, 21]}.items() for d in docs], "bucket long, doc long")
-    texts = spark.createDataFrame([(d, str(d)) for d in (0, 1, 2, 3, 10, 11, 12, 20, 21)], "doc_id long, text string")
-    prepare = lambda data, at: [np.array([int(data[i:j].tobytes())]) for i, j in zip(at[:-1], at[1:], strict=True)]
-    like = lambda x, y: float(frozenset((int(x[0]), int(y[0]))) in near)
-    links = groups.link(members, texts, prepare, like, 0.8)
-    got = {r.node: r.label for r in groups.components(links.select("a", "b")).collect()}
-    assert got == {1: 0, 2: 0, 3: 0, 10: 0, 11: 0, 12: 0}

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.arrow import slices, text_slices
-from tidemark.llm.groups import components, crowded, link
-from tidemark.llm.storage import written
+from tidemark.llm.groups import Measure, near_classes
+from tidemark.llm.groups import signatures as counts
 
 #: Words of a shingle, and the similarity from which documents are near.
 SHINGLE, NEAR = 5, 0.8
@@ -169,34 +169,43 @@ def near_pairs(documents: DataFrame, threshold: float = NEAR) -> tuple[DataFrame
     documents in a group, named by its least id. Equal texts are one document
     here, known by its least id. Candidates share a band of the fingerprint;
     links that would lie within a group that others have made aren't sought.
-    Rows with a null id take no part.
+    Rows with a null id take no part, and rows of one id are one document:
+    see ``near_classes``.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.length(text), text).alias("k2")).filter("doc_id is not null")
+    return near_classes(documents, measure(threshold))
 
-    def banded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i, j, data, at in text_slices(batch.column(1), 1 << 18):
-                keys = signatures(data, at).view("<i8")  # four 16-bit places are one band
-                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "keys"])
 
-    signed = written(rows.mapInArrow(banded, "doc_id long, k1 long, k2 long, keys array<long>"), "fingerprints")
-    firsts = written(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    copies = written(signed.select("doc_id", "k1", "k2").join(firsts, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
-    own = signed.join(firsts, ["k1", "k2"]).filter("doc_id = first")
-    members = crowded(written(own.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("doc_id").alias("doc")).distinct(), "keys"))
-    texts = written(rows.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = link(members, texts, _shingle_sets, _jaccard, threshold)
-    groups = components(links.select("a", "b").union(copies)).toDF("doc_id", "class_id")
-    return links, groups.union(groups.select(F.col("class_id").alias("doc_id"), "class_id").distinct())
+def _shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles, in order, and their offsets."""
+    words = W.find(data, at)
+    x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(to))
+    order = np.lexsort((x, owner))
+    x, owner = x[order], owner[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
+    return x[new], np.searchsorted(owner[new], np.arange(len(at)))
+
+
+def _described(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, signatures and bands: four 16-bit places are one band."""
+    x, to = _shingles(data, at)
+    bands = signatures(data, at).view(np.uint64)
+    bands = W.mix(bands ^ W.mix(np.arange(1, bands.shape[1] + 1, dtype=np.uint64)))
+    return np.diff(to), counts(x, to), bands.ravel(), np.arange(len(at)) * bands.shape[1]
 
 
 def _shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    words = W.find(data, at)
-    x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
-    return [np.unique(s) for s in np.split(x, to[1:-1])]
+    x, to = _shingles(data, at)
+    return np.split(x, to[1:-1])
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common)
+
+
+def measure(threshold: float = NEAR) -> Measure:
+    """Jaccard similarity of shingles. Near texts share so many that what only one has is at most this part of both together."""
+    apart = lambda larger, smaller: (1 - threshold) / (1 + threshold) * (larger + smaller) + 1e-9
+    return Measure(_described, _shingle_sets, _jaccard, apart, threshold)

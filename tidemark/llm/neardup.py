@@ -19,16 +19,12 @@ empty result. Texts of any length are compared whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import text_slices
-from tidemark.llm.groups import components, crowded, link
+from tidemark.llm.groups import Measure, near_classes, signatures
 from tidemark.llm.storage import written
 
 #: Words of a k-mer, and the similarity from which texts are near: 1 - edits / words of the longer.
@@ -56,43 +52,44 @@ def labelled(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.where(times > 0, W.mix(x ^ W.mix(times)), x)
 
 
-def sketches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of SKETCHES keys for each text, and its number of words."""
-    words = W.find(data, at)
-    x, to = W.shingles(W.Hasher(data)(words.start, words.end), words.at, SHINGLE)
+def sketches(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of SKETCHES keys for each text, of its words' hashes.
+
+    The hash functions multiply by odd numbers; a k-mer's place takes the low
+    bits of its hash, so that a least hash tells where it is, and of equal
+    ones the first counts.
+    """
+    x, to = W.shingles(hashes, at, SHINGLE)
     x = labelled(x, to)
     n = np.diff(to)
     out = np.empty((len(n), SKETCHES), np.uint64)
     full = n >= KEPT
-    size = np.diff(words.at)
     for d in np.flatnonzero(~full):  # too short to choose from: all k-mers are kept
         key = np.uint64(n[d])
         for v in x[to[d] : to[d + 1]]:
             key = W.mix(np.array([key ^ v]))[0]
         out[d] = key
     if not full.any():
-        return out, size
-    inside = np.repeat(full, n)
-    x = x[inside]
+        return out
+    x = x[np.repeat(full, n)]
     n = n[full]
     start = np.cumsum(n) - n
+    low = np.uint64((1 << int(n.max() - 1).bit_length()) - 1)
+    place = (np.arange(len(x)) - np.repeat(start, n)).astype(np.uint64)
+    h, places = np.empty_like(x), np.empty((KEPT, len(n)), np.int64)
     for k in range(SKETCHES):
-        h = W.mix(x * _SEEDS[k])
-        places = np.empty((KEPT, len(n)), np.int64)
+        np.multiply(x, _SEEDS[k], out=h)
+        h &= ~low
+        h |= place
         for j in range(KEPT):
-            least = np.minimum.reduceat(h, start)
-            hit = np.flatnonzero(h == np.repeat(least, n))
-            if len(hit) != len(n):  # two k-mers of a text hash alike: the first counts
-                owner = np.searchsorted(start, hit, "right") - 1
-                hit = hit[np.unique(owner, return_index=True)[1]]
-            places[j] = hit
-            h[hit] = _TOP
+            places[j] = start + (np.minimum.reduceat(h, start) & low).astype(np.int64)
+            h[places[j]] = _TOP
         places.sort(0)
         key = np.full(len(n), k + 1, np.uint64)
         for j in range(KEPT):
             key = W.mix(key ^ x[places[j]])
         out[full, k] = key
-    return out, size
+    return out
 
 
 def _edits(words: int, least: float = NEAR) -> int:
@@ -115,22 +112,24 @@ _RUNS = [_run_lengths(n) for n in range(SHORT + 1)]
 _SKETCHED = SHORT + 1 - _edits(SHORT + 1)
 
 
-def keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of texts, two of which are candidates if they have one in common, the offsets of each text's, and its number of words."""
-    sketched, size = sketches(data, at)
-    long = np.flatnonzero((size >= _SKETCHED) | (size == 0))
-    owner, found = [np.repeat(long, SKETCHES)], [sketched[long].ravel()]
-    words = W.find(data, at)
-    hashes = W.Hasher(data)(words.start, words.end)
+def keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of texts, two of which are candidates if they have one in common, and the offsets of each text's."""
+    size = np.diff(at)
+    long = (size >= _SKETCHED) | (size == 0)
+    of_long = sketches(hashes[np.repeat(long, size)], np.concatenate([[0], np.cumsum(size[long])]))
+    owner, found = [np.repeat(np.flatnonzero(long), SKETCHES)], [of_long.ravel()]
     for run in sorted(set().union(*_RUNS)):
-        of = np.flatnonzero(np.isin(size, [n for n in range(1, SHORT + 1) if run in _RUNS[n]]))
-        if len(of):
-            x, to = W.shingles(hashes[np.isin(words.texts, of)], np.concatenate([[0], np.cumsum(size[of])]), run)
-            owner.append(np.repeat(of, np.diff(to)))
+        of = np.isin(size, [n for n in range(1, SHORT + 1) if run in _RUNS[n]])
+        if of.any():
+            x, to = W.shingles(hashes[np.repeat(of, size)], np.concatenate([[0], np.cumsum(size[of])]), run)
+            owner.append(np.repeat(np.flatnonzero(of), np.diff(to)))
             found.append(W.mix(x ^ np.uint64(SKETCHES + run)))
-    all_owners = np.concatenate(owner)
-    order = np.argsort(all_owners, kind="stable")
-    return np.concatenate(found)[order], np.searchsorted(all_owners[order], np.arange(len(at))), size
+    texts, values = np.concatenate(owner), np.concatenate(found)
+    order = np.lexsort((values, texts))
+    texts, values = texts[order], values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (texts[1:] != texts[:-1]) | (values[1:] != values[:-1])
+    return values[new], np.searchsorted(texts[new], np.arange(len(at)))
 
 
 def _band(a: list[int], b: list[int], k: int) -> int:
@@ -204,46 +203,30 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = NEAR) -> float:
     return 1 - e / longer if longer and e <= most else float(not longer)
 
 
-def _sketched(documents: DataFrame) -> DataFrame:
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i, j, data, at in text_slices(batch.column(1)):
-                found, to, size = keys(data, at)
-                lists = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(size, pa.int64()), lists], names=["doc_id", "k1", "k2", "size", "keys"])
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words = W.find(data, at)
+    return W.Hasher(data)(words.start, words.end), words.at
+
 
-    text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.length(text), text).alias("k2")).filter("doc_id is not null")
-    return rows.mapInArrow(batches, "doc_id long, k1 long, k2 long, size long, keys array<long>")
+def _described(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hashes, words = _words(data, at)
+    return np.diff(words), signatures(hashes, words), *keys(hashes, words)
 
 
 def _word_hashes(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    words = W.find(data, at)
-    return np.split(W.Hasher(data)(words.start, words.end), words.at[1:-1])
+    hashes, words = _words(data, at)
+    return np.split(hashes, words[1:-1])
 
 
-def near_duplicates(documents: DataFrame, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b, likeness)`` between representatives of equal texts, and ``(doc_id, class_id)`` of documents in a group.
+def measure(least: float = NEAR) -> Measure:
+    """Edit similarity in words. An edit takes a word from one text, or gives one, or both: of the words' counts two change at most."""
+    edits = lambda larger, _: 2 * np.floor((1 - least) * larger + 1e-9)
+    return Measure(_described, _word_hashes, lambda x, y: similarity(x, y, least), edits, least)
 
-    ``class_id`` is the least id of the group. Links are those that joined two
-    groups: pairs already in one aren't compared. Documents without a copy or
-    a near one are in neither table.
-    """
-    sketched = written(_sketched(documents), "sketches")
-    equal = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = written(equal.filter("first != last").select("k1", "k2", "first"), "copies")
-    same = sketched.select("doc_id", "k1", "k2").join(copied, ["k1", "k2"]).filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    same = written(same.distinct(), "copy-links")
-    firsts = sketched.join(same.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
-    keyed = firsts.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("bucket")).select("bucket", "doc").distinct()
-    members = crowded(written(keyed, "keys"))
-    involved = written(members.select(F.col("doc").alias("doc_id")).distinct(), "involved")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(involved, "doc_id")
-    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = link(members, texts, _word_hashes, lambda x, y: similarity(x, y, least), least)
-    classes = components(links.select("a", "b").union(same))
-    whole = classes.select(F.col("node").alias("doc_id"), F.col("label").alias("class_id"))
-    return links, whole.union(whole.select(F.col("class_id").alias("doc_id"), "class_id").distinct())
+
+def near_duplicates(documents: DataFrame, least: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b, likeness)`` that joined groups, and ``(doc_id, class_id)`` of documents in a group: see ``near_classes``."""
+    return near_classes(documents, measure(least))
 
 
 def classes(documents: DataFrame, least: float = NEAR) -> DataFrame:
