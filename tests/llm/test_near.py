@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from common import DATA, edge_rows, frame, sentence
+from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprints, groups, neardup, registry
 from tidemark.llm.arrow import text_slices
@@ -174,11 +175,11 @@ def numbered(near) -> groups.Measure:
 
 
 def linked(spark, buckets: dict, near) -> tuple[list, dict]:
-    keyed = spark.createDataFrame([(b, d) for b, docs in buckets.items() for d in docs], "bucket long, doc long")
+    keyed = spark.createDataFrame([(b, d) for b, docs in buckets.items() for d in docs], "bucket long, doc long").withColumn("text", F.col("doc"))
     ids = sorted({d for docs in buckets.values() for d in docs})
     docs = spark.createDataFrame([(d, 1, bytearray(groups.BINS)) for d in ids], "doc long, size long, sign binary")
     texts = spark.createDataFrame([(d, str(d)) for d in ids], "doc long, text string")
-    links, labels = groups.link(groups.crowded(keyed), docs, texts, numbered({frozenset(p) for p in near}))
+    links, labels = groups.link(groups.crowded(keyed, keyed.limit(0)), docs, texts, numbered({frozenset(p) for p in near}))
     return sorted(map(tuple, links.collect())), {r.node: r.label for r in labels.collect()}
 
 

@@ -100,18 +100,19 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def crowded(keyed: DataFrame) -> DataFrame:
-    """``(bucket, doc, leader)`` of buckets with several documents; of buckets with the same ones, one.
+def crowded(keyed: DataFrame, copies: DataFrame) -> DataFrame:
+    """``(bucket, doc, leader)`` of the documents ``(bucket, doc, text)`` but copies, in buckets with several texts; of buckets with the same documents, one.
 
     The leader is the least document, so that a group of copies has one
     leader wherever it meets. Documents of a bucket are known by their number
-    and two hashes.
+    and two hashes. Copies are left out of crowded buckets only, where few
+    rows are left, and not of all documents with their keys.
     """
-    several = written(keyed.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).filter("leader != last").select("bucket", "leader"), "buckets")
-    members = written(keyed.join(several, "bucket").distinct(), "members")
-    seen = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "doc")).alias("y"))
-    kept = written(seen.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "distinct-buckets")
-    return written(members.join(kept, "bucket"), "distinct-members")
+    several = written(keyed.groupBy("bucket").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least != most").select("bucket"), "buckets")
+    members = written(keyed.join(several, "bucket").select("bucket", "doc").distinct().join(copies.select("doc"), "doc", "left_anti"), "members")
+    seen = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("leader"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64(F.lit("again"), "doc")).alias("y"))
+    kept = written(seen.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("leader").alias("leader")).select("bucket", "leader"), "distinct-buckets")
+    return written(members.join(kept, "bucket").select("bucket", "doc", "leader"), "distinct-members")
 
 
 def _prepared(column: pa.Array, measure: Measure) -> list[np.ndarray]:
@@ -304,11 +305,11 @@ def near_classes(documents: DataFrame, measure: Measure) -> tuple[DataFrame, Dat
     equal = one(every.select("doc", "k1", "k2")).groupBy("k1", "k2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     copied = written(equal.filter("first != last").select("k1", "k2", "first"), "copied-texts")
     same = written(one(every.select("doc", "k1", "k2")).join(copied, ["k1", "k2"]).filter("doc != first").select("doc", "first").distinct(), "copies")
-    firsts = one(every).join(same.select("doc"), "doc", "left_anti")
-    members = crowded(written(firsts.select("doc", F.explode("keys").alias("bucket")), "keys"))
+    members = crowded(written(one(every).select("doc", F.col("k1").alias("text"), F.explode("keys").alias("bucket")), "keys"), same)
 
-    involved = written(members.select("doc").distinct(), "involved")
-    docs = written(firsts.join(involved, "doc").select("doc", "size", "sign").dropDuplicates(["doc"]), "compared-documents")
+    # what meets grows with the documents: never broadcast, whatever the size
+    involved = written(members.select("doc").distinct(), "involved").hint("merge")
+    docs = written(one(every.select("doc", "k1", "size", "sign")).join(involved, "doc").select("doc", "size", "sign").dropDuplicates(["doc"]), "compared-documents")
     texts = written(one(rows.select("doc", "text", "k1")).join(involved, "doc").select("doc", "text").dropDuplicates(["doc"]), "compared-texts")
     links, labels = link(members, docs, texts, measure)
     labels = written(labels, "classes")
