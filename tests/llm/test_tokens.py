@@ -66,11 +66,22 @@ def test_word_ids_equal_the_library(monkeypatch):
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     for i in range(0, len(texts), 500):
         assert [x.tolist() for x in own.encode(texts[i : i + 500])] == want[i : i + 500]
-    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
     small = packing.Tokens(WORD)
     assert [small.encode([t])[0].tolist() for t in texts[:200]] == want[:200]
 
 
+def test_letters_and_marks_that_the_tokenizer_splits_otherwise():
+    """Letters whose lower or composed forms have marks, digits among letters, dashes before marks, contractions, special tokens."""
+    library, own = Tokenizer.from_file(WORD), packing.Tokens(WORD)
+    pieces = ["\u0130", "x\u0130", "\u0958", "e\u0301", "\u1112\u1161\u11ab", "\u03a3", "A\u03a3", "\u00b2\u00b3", "x\u00b2", "\u2167", "\u2014", "\u201c", "\u00e9", "\u00c9t\u00e9", "\u01c5", "\u0345", "it's", "it'sure", "!'s", "<|endoftext|>", "<|ENDOFTEXT|>", "a_b", "_", "7", "a7", "\u0663", "\u00a0", "\U0001f600", "\x02", "\u3042", "'"]
+    texts = [p + tail for p in pieces for tail in ("", ",", ".%%%", "\u0301", "word", "!x")]
+    texts = [*texts, *(f"{a} {b}" for a in texts[::7] for b in texts[::5])]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(texts)] == want
+    assert [packing.Tokens(WORD).encode([t])[0].tolist() for t in texts[:40]] == want[:40]
+
+
 def check_packed(rows, ids: dict, length: int) -> float:
     """Every id is in one piece, every place in one sequence; the share of padding."""
     documents, sequences = defaultdict(list), defaultdict(list)

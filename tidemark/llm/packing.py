@@ -16,6 +16,7 @@ Texts of any length are cut whole.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,16 +32,40 @@ from tidemark.llm.storage import written
 
 #: Tokens of a sequence, and the id that closes a document.
 LENGTH, CLOSING = 2048, 1
-#: Words whose ids a worker remembers; when there are more it forgets them all.
-CACHE_WORDS = 1 << 19
+#: Runs whose ids a worker remembers, and as many parts of runs; when there are more it forgets the older half.
+REMEMBERED = 1 << 19
 #: Characters of text that are tokenized at a time.
 GATHERED = 1 << 20
 #: Fixed: a character that stands between runs when many are tokenized at once.
 _MARK = "\x02"
+#: Fixed: letters, then ASCII marks without the apostrophe, which may begin a part of its own.
+_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed: what the vocabulary's last token of a word ends with.
+_END = "</w>"
 #: Pieces of one length that one task ranks, about.
 RANKED = 1 << 20
 
 
+class Recent:
+    """Values by string; when there are too many, those that weren't asked for lately are forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.now: dict[str, bytes | None] = {}
+        self._before: dict[str, bytes | None] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys without a value; those of the others are in ``now``."""
+        if len(self.now) + len(keys) > self.most // 2:
+            self.now, self._before = {}, self.now
+        now, before = self.now, self._before
+        unknown = [k for k in keys if k not in now]
+        for k in unknown:
+            if k in before:
+                now[k] = before[k]
+        return [k for k in unknown if k not in now]
+
+
 class Tokens:
     """A vocabulary of fewer than 65,536 ids that never joins words across blanks."""
 
@@ -51,24 +76,70 @@ class Tokens:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
+        self._runs, self._parts = Recent(REMEMBERED), Recent(REMEMBERED)
         (self._between,) = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(_END)]] = True
 
-    def _learn(self, runs: list[str]) -> None:
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_whole(self, runs: list[str]) -> None:
         """Remember the ids of runs: many in one call, told apart by the id of the mark between them."""
-        known, encode = self._known, self._tokenizer.encode_batch_fast
+        known = self._runs.now
         marked = [r for r in runs if _MARK in r]
-        for r, e in zip(marked, encode(marked, add_special_tokens=False), strict=True):
-            known[r] = np.array(e.ids, "<u2").tobytes()
+        for r, ids in zip(marked, self._encoded(marked), strict=True):
+            known[r] = ids.tobytes()
         plain = [r for r in runs if _MARK not in r] if marked else runs
-        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for i in range(0, len(groups), 32):
-            for group, e in zip(groups[i : i + 32], encode([f" {_MARK} ".join(g) for g in groups[i : i + 32]], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u2")
-                raw, start = ids.tobytes(), 0
-                for r, end in zip(group, [*(2 * np.flatnonzero(ids == self._between)).tolist(), len(raw)], strict=True):
-                    known[r] = raw[start:end]
-                    start = end + 2
+        for i in range(0, len(plain), 512):
+            group = plain[i : i + 512]
+            (ids,) = self._encoded([f" {_MARK} ".join(group)])
+            _cut(known, group, ids, np.flatnonzero(ids == self._between), 1)
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Remember the ids of parts that are one word to the tokenizer, and nothing of those that are several.
+
+        As each part is a word at least, a group is of single words exactly
+        if it has as many ends of words as parts.
+        """
+        known = self._parts.now
+        for i in range(0, len(parts), 512):
+            group = parts[i : i + 512]
+            (ids,) = self._encoded([" ".join(group)])
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                _cut(known, group, ids, ends[:-1], 0)
+            else:
+                for part, own in zip(group, self._encoded(group), strict=True):
+                    single = self._ends[own].sum() == 1 and self._ends[own[-1]]
+                    known[part] = own.tobytes() if single else None
+
+    def _learn(self, runs: list[str]) -> None:
+        """Remember the ids of runs: of letters and marks behind them as those of both, of others as a whole."""
+        split: list[tuple[str, str, str]] = []
+        whole: list[str] = []
+        parts: set[str] = set()
+        for r in runs:
+            if found := _PLAIN.fullmatch(r):
+                letters, marks = found.groups()
+                if letters.isascii():
+                    letters = letters.lower()
+                split.append((r, letters, marks))
+                parts.add(letters)
+                parts.add(marks)
+            else:
+                whole.append(r)
+        parts.discard("")
+        self._learn_parts(self._parts.missing(parts))
+        known, of = self._runs.now, {**{"": b""}, **{p: self._parts.now[p] for p in parts}}
+        for r, letters, marks in split:
+            a, b = of[letters], of[marks]
+            if a is None or b is None:
+                whole.append(r)
+            else:
+                known[r] = a + b
+        self._learn_whole(whole)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 16-bit numbers.
@@ -77,14 +148,19 @@ class Tokens:
         blanks, so each run is tokenized once and its ids are remembered.
         """
         runs = [t.replace("\n", " ").split(" ") for t in texts]
-        needed: set[str] = set().union(*runs)
-        if len(self._known) + len(needed) > CACHE_WORDS:
-            self._known.clear()
-        self._learn([r for r in needed if r not in self._known])
-        get = self._known.__getitem__
+        self._learn(self._runs.missing(set().union(*runs)))
+        get = self._runs.now.__getitem__
         return [np.frombuffer(b"".join(map(get, rs)), "<u2") for rs in runs]
 
 
+def _cut(known: dict[str, bytes | None], names: list[str], ids: np.ndarray, ends: np.ndarray, left_out: int) -> None:
+    """Remember the ids up to each end, and from there on without so many of them."""
+    raw, start = ids.tobytes(), 0
+    for name, end in zip(names, [*(2 * ends).tolist(), len(raw)], strict=True):
+        known[name] = raw[start:end]
+        start = end + 2 * left_out
+
+
 @lru_cache(2)
 def _tokens(path: str) -> Tokens:
     """A worker loads each vocabulary once."""
