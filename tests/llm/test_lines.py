@@ -36,7 +36,7 @@ def brute(rows: list[tuple[int, str]]) -> dict[int, str]:
 
 def test_against_all_pairs(spark):
     rnd = random.Random(8)
-    pool = [sentence(rnd, rnd.choice([1, 3, 9, 10, 11, 12, 17])) for _ in range(12)]
+    pool = [sentence(rnd, rnd.choice([1, 3, 4, 5, 6, 9, 12, 17])) for _ in range(12)]
     rows = []
     for doc_id in range(60):
         found = []
@@ -89,6 +89,21 @@ def test_a_hot_line_and_many_near_ones(spark):
     assert got[0] == rows[0][1] and all(got[i] == "" for i in range(1, 500))
 
 
+def test_lines_about_the_bounds_of_the_key_schemes(spark):
+    """Lines of 4 to 6 words, and of LONG_WORDS and one less or more, whose keys are made in two ways, in each order."""
+    rnd = random.Random(4)
+    rows = []
+    for n in (lines.MIN_WORDS, lines.LONG_WORDS):
+        for first in (n - 1, n, n + 1):
+            for then in (n - 1, n, n + 1):
+                words = sentence(rnd, first).split()
+                at = rnd.randrange(first)
+                other = {0: [*words[:at], "zz", *words[at + 1 :]], 1: [*words[:at], "zz", *words[at:]], -1: words[:at] + words[at + 1 :]}.get(then - first) or words[: then - first]
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = {r.doc_id: r.text for r in lines.dedup(frame(spark, rows)).collect()}
+    assert got == brute(rows) and 9 < list(got.values()).count("") < 18
+
+
 def test_whole_table_equals_the_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.storage import written
 
-#: Lines of fewer words only go if an earlier one is the same: one word would be too much of them.
-MIN_WORDS = 10
+#: Lines of fewer words only go if an earlier one is the same: with one word changed they are less than 0.8 alike.
+MIN_WORDS = 5
 
 #: Lines of so many words or more get their keys from running hashes, whose cost grows more slowly with the length; shorter ones from parts of the line.
 LONG_WORDS = 1024
@@ -171,9 +171,12 @@ def duplicates(documents: DataFrame) -> DataFrame:
     picked = each.withColumn("side", F.try_element_at("sides", "pos")).filter("side is not null")
     candidates = written(picked.select(F.struct("id", "hash", "pos").alias("line"), F.col("line").alias("words"), "n", F.col("side.first"), F.col("side.last")), "near-lines")
 
-    keyed = candidates.select("line", F.explode(_keys(F.col("words"), F.col("n"), F.col("first"), F.col("last"))).alias("key"))
-    met = written(keyed.groupBy("key").agg(F.min("line").alias("kept"), F.count("*").alias("lines")).filter("lines > 1").select("key", "kept"), "equal-variants")
-    pairs = keyed.join(met, "key").filter(F.col("line") > F.col("kept")).groupBy("line").agg(F.min("kept").alias("kept"))
+    # written, as it takes longer to make the keys than to read them twice
+    keyed = written(candidates.select("line", F.explode(_keys(F.col("words"), F.col("n"), F.col("first"), F.col("last"))).alias("key")), "variants")
+    several = written(keyed.groupBy("key").agg(F.count("*").alias("lines")).filter("lines > 1").select("key"), "equal-variants")
+    met = written(keyed.join(several, "key"), "met-lines")
+    kept = written(met.groupBy("key").agg(F.min("line").alias("kept")), "kept-lines")
+    pairs = met.join(kept, "key").filter(F.col("line") > F.col("kept")).groupBy("line").agg(F.min("kept").alias("kept"))
     texts = candidates.select("line", "words")
     both = pairs.join(texts, "line").join(texts.toDF("kept", "kept_words"), "kept")
     near = both.filter(one_edit(F.split("words", " "), F.split("kept_words", " "))).select("line.*")
@@ -210,7 +213,7 @@ WITH lines AS (
 ), first_lines AS (
   SELECT words, min({'d': doc_id, 'p': pos}) AS place FROM split WHERE len(words) > 0 GROUP BY words
 ), cuts AS (
-  SELECT words, place, unnest(generate_series(0, len(words))) AS i FROM first_lines WHERE len(words) >= 10
+  SELECT words, place, unnest(generate_series(0, len(words))) AS i FROM first_lines WHERE len(words) >= 5
 ), keys AS (
   SELECT place, i || '|' || array_to_string(words[1:i], ' ') || '|' || array_to_string(words[i + 1:], ' ') AS key FROM cuts
   UNION ALL
