@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__
 from tidemark.plans.catalogue import CATALOGUE, run
 from tidemark.sources.parquet import RELATIONS
+from tidemark.statements import STATEMENTS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,6 +29,15 @@ def test_rows_equal_the_oracle(spark, oracle, name):
     assert sorted(map(key, got.collect())) == sorted(map(key, want.fetchall()))
 
 
+@pytest.mark.parametrize("name", STATEMENTS)
+def test_statements_equal_the_oracle(spark, oracle, name):
+    got = __spark_entry__.queries()[name](spark, DATA)
+    want = oracle.execute(__spark_entry__.oracle_sql()[name])
+    assert got.columns == [d[0] for d in want.description]
+    rows = sorted(tuple(str(x) for x in r) for r in got.collect())
+    assert rows and rows == sorted(tuple(str(x) for x in r) for r in want.fetchall())
+
+
 @pytest.mark.parametrize(("name", "column", "descending"), [("order_by_asc", "p_size", False), ("order_by_join", "s_acctbal", False), ("distinct_order_by", "o_orderstatus", False)])
 def test_sorted_by_the_key(spark, name, column, descending):
     values = [r[column] for r in run(name, spark, DATA).collect()]
@@ -50,6 +60,7 @@ def test_plans(spark):
     assert "ReadSchema: struct<o_custkey:bigint>" in plan(run("distinct_column", spark, DATA))
     assert "<empty>" in plan(run("filter_const_false", spark, DATA))
     assert "Python" not in plan(run("join_three_way", spark, DATA))
+    assert plan(run("distinct_self_theta_ne", spark, DATA)).count("HashAggregate") >= 2  # nations meet, and not suppliers
 
 
 def test_entry(spark):

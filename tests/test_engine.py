@@ -102,6 +102,32 @@ def test_missing_files_raise(spark, tmp_path):
         read_schema(spark, str(tmp_path / "schema.txt"))
 
 
+@pytest.mark.parametrize("preserve_order", [False, True])
+def test_a_missing_data_file_fails_only_the_statements_that_name_it(spark, tmp_path, preserve_order):
+    build(tmp_path, {"Here": ("a", [(1,)]), "Gone": ("a", [(2,)])})
+    (tmp_path / "db/data/Gone").unlink()
+    (tmp_path / "queries.sql").write_text("SELECT Here.a FROM Here; SELECT Gone.a FROM Gone; SELECT Here.a FROM Here, Gone; SELECT Here.a FROM Here WHERE Here.a = 1")
+    done = run_batch(spark, str(tmp_path), str(tmp_path / "out"), preserve_order)
+    assert [o.rows for o in done] == [1, None, None, 1]
+    assert all("Gone" in str(o.error) and "PATH_NOT_FOUND" in str(o.error) for o in done[1:3])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["query1", "query4"]
+
+
+def test_a_select_may_stand_behind_comments(engine):
+    assert engine.sql("-- first\n/* then */ SELECT S.A FROM Sailors S WHERE S.A = 1 -- last").count() == 1
+    with pytest.raises(ValueError, match="only SELECT"):
+        engine.sql("/* SELECT */ DROP VIEW Sailors")
+
+
+@pytest.mark.parametrize("line", ["1", "1,2,3", "x,1", ""])
+def test_a_bad_line_fails_a_stream(spark, tmp_path, line):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/part1").write_text(f"5,6\n{line}\n")
+    q = stream_table(spark, str(tmp_path / "in"), ["a", "b"]).writeStream.format("memory").queryName("bad_arrivals").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="expected 2 integers"):
+        q.awaitTermination(60)
+
+
 def test_opening_another_folder_replaces_the_tables(spark, tmp_path):
     e = Engine(spark, build(tmp_path / "one", {"OneOnly": ("a", [(1,)])}))
     e.open(build(tmp_path / "two", {"TwoOnly": ("a", "")}))

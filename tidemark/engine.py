@@ -6,10 +6,11 @@ import logging
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.ordered import PLACED, ordered_select
-from tidemark.plans.script import split_statements
+from tidemark.plans.script import lexemes, split_statements
 from tidemark.sources.sink import write_single_file
 from tidemark.sources.text import POSITION, read_schema, read_table
 
@@ -36,29 +37,43 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.tables: dict[str, list[str]] = {}
+        self.unreadable: dict[str, AnalysisException] = {}
         if folder is not None:
             self.open(folder)
 
     def open(self, folder: str) -> None:
-        """Register every table as a view. Files are read when a query runs."""
+        """Register every table as a view. Files are read when a query runs.
+
+        A table without its file has no view: statements that name it fail.
+        """
         found = read_schema(self.spark, f"{folder}/schema.txt")
-        for name in self.tables:
+        for name in {**self.tables, **found}:
             self.spark.catalog.dropTempView(name)
             self.spark.catalog.dropTempView(name + PLACED)
-        self.tables = {}
+        self.tables, self.unreadable = {}, {}
         for name, columns in found.items():
             path = f"{folder}/data/{name}"
-            read_table(self.spark, path, columns).createOrReplaceTempView(name)
+            try:
+                read_table(self.spark, path, columns).createOrReplaceTempView(name)
+            except AnalysisException as e:
+                log.error("table %s can't be read: %s", name, e)
+                self.unreadable[name] = e
+                continue
             read_table(self.spark, path, columns, position=True).select(*columns, POSITION).createOrReplaceTempView(name + PLACED)
             self.tables[name] = columns
 
     def sql(self, statement: str, preserve_order: bool = False) -> DataFrame:
         """The lazy result of one SELECT."""
-        if preserve_order:
-            return ordered_select(self.spark, statement)
-        if not statement.lstrip("( \t\r\n").upper().startswith(("SELECT", "WITH", "VALUES")):
+        begin = "".join(x for x, _ in lexemes(statement)).lstrip("( \t\r\n").upper()  # behind comments
+        if not begin.startswith(("SELECT", "WITH", "VALUES")):
             raise ValueError(f"only SELECT statements run here: {statement}")
-        return self.spark.sql(statement)
+        try:
+            return ordered_select(self.spark, statement) if preserve_order else self.spark.sql(statement)
+        except AnalysisException as e:
+            for name, reason in self.unreadable.items():
+                if e.getCondition() == "TABLE_OR_VIEW_NOT_FOUND" and f"`{name}`".lower() in str(e).lower().replace(PLACED.lower(), ""):
+                    raise reason from e
+            raise
 
     def run_script(self, text: str, output: str, preserve_order: bool = False) -> list[Outcome]:
         """Write the result of statement i to ``<output>/query<i>``.

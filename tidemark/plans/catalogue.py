@@ -195,9 +195,10 @@ def distinct_join(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT s1.s_nationkey AS left_nation, s2.s_nationkey AS right_nation FROM supplier s1, supplier s2 WHERE s1.s_suppkey > s2.s_suppkey AND s1.s_nationkey != s2.s_nationkey")
 def distinct_self_theta_ne(t: Tables) -> DataFrame:
-    left, right = _supplier_pairs(t)
-    pairs = join(left, right, all_of(compare("s1.s_suppkey", ">", "s2.s_suppkey"), compare("s1.s_nationkey", "!=", "s2.s_nationkey")))
-    return unique(project(pairs, F.col("s1.s_nationkey").alias("left_nation"), F.col("s2.s_nationkey").alias("right_nation")))
+    # a supplier of one nation is above one of another exactly if the largest is above the least: nations meet, and not suppliers
+    ends = t["supplier"].groupBy("s_nationkey").agg(F.min("s_suppkey").alias("least"), F.max("s_suppkey").alias("largest"))
+    left, right = project(ends, F.col("s_nationkey").alias("left_nation"), "largest"), project(ends, F.col("s_nationkey").alias("right_nation"), "least")
+    return project(join(left, right, all_of(compare("largest", ">", "least"), compare("left_nation", "!=", "right_nation"))), "left_nation", "right_nation")
 
 
 @query("SELECT * FROM part ORDER BY part.p_size")

@@ -40,6 +40,19 @@ def _values(line: Column) -> Column:
     return F.split(F.regexp_replace(commas, r",+$", ""), ",", -1)
 
 
+def checked(lines: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """Lines, in a column ``value``, as int columns, and more columns of the same rows.
+
+    The whole line is checked, whichever columns a query keeps.
+    """
+    rows = lines.select(_values(F.col("value")).alias("v"), F.col("value").alias("line"), *more)
+    valid = (F.size("v") == len(columns)) & F.forall("v", lambda x: x.try_cast("int").isNotNull())
+    check = F.assert_true(valid, F.concat(F.lit(f"expected {len(columns)} integers: "), F.col("line")))
+    # assert_true gives null when it holds, so coalesce reads on to the value
+    fields = [F.coalesce(check.cast("int"), F.get("v", F.lit(i)).cast("int")).alias(c) for i, c in enumerate(columns)]
+    return rows.select(*fields, *(F.col(c) for c in rows.columns[2:]))
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str], position: bool = False) -> DataFrame:
     """Scan a text table as int columns, with ``POSITION`` if asked for.
 
@@ -48,12 +61,5 @@ def read_table(spark: SparkSession, path: str, columns: list[str], position: boo
     Files need a line for each row; a blank line, an empty field, a
     non-integer or a wrong number of fields fails the query when it runs.
     """
-    lines = spark.read.text(path)
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    rows = lines.select(_values(F.col("value")).alias("v"), F.col("value").alias("line"), *([place.alias(POSITION)] if position else []))
-    # the whole line is checked, whichever columns the query keeps
-    valid = (F.size("v") == len(columns)) & F.forall("v", lambda x: x.try_cast("int").isNotNull())
-    check = F.assert_true(valid, F.concat(F.lit(f"expected {len(columns)} integers: "), F.col("line")))
-    # assert_true gives null when it holds, so coalesce reads on to the value
-    fields = [F.coalesce(check.cast("int"), F.get("v", F.lit(i)).cast("int")).alias(c) for i, c in enumerate(columns)]
-    return rows.select(*fields, *([POSITION] if position else []))
+    return checked(spark.read.text(path), columns, *([place.alias(POSITION)] if position else []))

@@ -2,18 +2,16 @@
 
 The batch engine has no streams of its own; this reads the same line format
 incrementally, so that a select or project of a table also runs on arrivals.
+A bad line fails the stream, as it fails a query.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.sources.text import _values
+from tidemark.sources.text import checked
 
 
 def stream_table(spark: SparkSession, folder: str, columns: list[str], files_per_trigger: int = 100) -> DataFrame:
     """A streaming DataFrame of int columns over the text files that appear in ``folder``."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    rows = lines.select(_values(F.col("value")).alias("v"))
-    return rows.select(*(F.get("v", F.lit(i)).cast("int").alias(c) for i, c in enumerate(columns)))
+    return checked(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder), columns)
