@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +39,8 @@ ORDER = 4
 START, END = 0xFF, 0xFE
 #: Words whose counts go to every task; the counts of rarer ones are joined.
 HEAD_WORDS = 1 << 17
-#: Contexts with their next bytes that a task holds at a time. Where there are more, they come in blocks.
-BLOCK_PAIRS = 1 << 20
+#: Contexts with their next bytes that come to the driver and go to every task, at most. Beyond them, probabilities are joined.
+HELD_PAIRS = 1 << 20
 #: Counts that a task gathers before it passes them on.
 GATHERED = 1 << 20
 
@@ -193,31 +193,34 @@ class Trie:
         p = np.where(numbers > 0, numbers / scale, np.where(kinds > 0, kinds / scale, 1.0) * escaped)
         return np.log10(np.maximum(p, 1e-38)).astype(np.float32)
 
+    def of_bytes(self, previous: Callable[[int], np.ndarray]) -> np.ndarray:
+        """The log10 probabilities of bytes ``previous(0)`` behind bytes ``previous(1)``, ``previous(2)`` and so on."""
+        last = self.symbol[previous(0)]
+        node = np.zeros(len(last), np.int64)
+        width, child = self.log10.shape[1], self.child.ravel()
+        deeper = np.ones(len(last), bool)
+        for k in range(1, ORDER + 1):
+            step = child[node * width + self.symbol[previous(k)]]
+            deeper &= step >= 0
+            node = np.where(deeper, step, node)
+        return self.log10.ravel()[node * width + last].astype(np.float64)
+
     def score(self, data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
         """The log10 probability of each text; with ``wanted`` that of the bytes behind such last two bytes only."""
         b, place, sizes = padded(data, at)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         if wanted is not None:
             chosen = wanted[b[place - 2].astype(np.int64) << 8 | b[place - 1]]
-            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes), chosen, len(sizes)).astype(np.int64)
-            place = place[chosen]
-        column = self.symbol[b]
-        node = np.zeros(len(place), np.int64)
-        width, child = self.log10.shape[1], self.child.ravel()
-        deeper = np.ones(len(place), bool)
-        for k in range(1, ORDER + 1):
-            step = child[node * width + column[place - k]]
-            deeper &= step >= 0
-            node = np.where(deeper, step, node)
-        each = self.log10.ravel()[node * width + column[place]].astype(np.float64)
-        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+            owner, place = owner[chosen], place[chosen]
+        return np.bincount(owner, self.of_bytes(lambda k: b[place - k]), len(sizes)).astype(np.float64)  # of no bytes it is of int
 
 
 @dataclass
 class Model:
-    """Counts of contexts in blocks, and of the commonest words, for the tasks."""
+    """Counts of contexts and of the commonest words, for the tasks."""
 
-    blocks: list[bytes]  # each: codes, then their numbers, compressed
-    block_of: np.ndarray  # the block of each pair of last two bytes
+    packed: bytes  # codes of the held contexts with their next bytes, then their numbers, compressed
+    held: np.ndarray | None  # whether contexts with such last two bytes are held, or not in any training text; None if all are
     low: np.ndarray
     head: np.ndarray  # hashes of the commonest words, ascending
     head_counts: np.ndarray
@@ -231,12 +234,37 @@ class Model:
         return float(self.tokens + self.kinds + 1)
 
 
+def _last_two(code: Column | str) -> Column:
+    return F.shiftright(code, 8).bitwiseAND(0xFFFF)
+
+
+def _held(contexts: DataFrame) -> tuple[np.ndarray | None, pa.Table]:
+    """Which contexts the tasks hold, and those with their numbers.
+
+    Contexts go by their last two bytes: 65,536 groups at most, whose trie
+    needs no other group. Where all would be more than HELD_PAIRS, groups
+    with the most bytes a pair are held.
+    """
+    sizes = contexts.groupBy(_last_two("key").alias("two")).agg(F.count("*").alias("pairs"), F.sum("n").alias("n")).toArrow()
+    two, pairs, n = (sizes[c].to_numpy() for c in ("two", "pairs", "n"))
+    if pairs.sum() <= HELD_PAIRS:
+        return None, contexts.select("key", "n").toArrow()
+    order = np.argsort(-n / pairs, kind="stable")
+    some = two[order[np.cumsum(pairs[order]) <= HELD_PAIRS]]
+    held = np.ones(1 << 16, bool)
+    held[two] = False
+    held[some] = True
+    chosen = contexts.sparkSession.createDataFrame(pa.table({"two": pa.array(some, pa.int64())}))
+    return held, contexts.join(F.broadcast(chosen), _last_two("key") == F.col("two")).select("key", "n").toArrow()
+
+
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the table of all counts.
 
-    What comes to the driver: a histogram of word counts on 1,000 steps, the
-    commonest words (HEAD_WORDS at most), and the
-    numbers of the longest contexts with their next bytes.
+    What comes to the driver is bounded: a histogram of word counts on 1,000
+    steps, the commonest words (HEAD_WORDS at most), the numbers of pairs of
+    bytes, the sizes of the groups of contexts by two bytes, and the numbers
+    of HELD_PAIRS contexts at most with their next bytes.
     """
     counts = count(documents)
     of = {kind: counts.filter(F.col("kind") == kind).select("key", "n") for kind in (WORD, CONTEXT, TEXT)}
@@ -249,43 +277,64 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
         if room < 0:
             break
         least = r.least
-    head = of[WORD].filter(F.col("n") >= (least or 1 << 62)).toArrow().sort_by("key")
+    head = of[WORD].filter(F.col("n") >= (least or 1 << 62)).toArrow()
     hashes, numbers = head["key"].to_numpy().view(np.uint64), head["n"].to_numpy()
     order = np.argsort(hashes)
-    pairs = of[CONTEXT].toArrow().sort_by("key")
-    code, n = pairs["key"].to_numpy().view(np.uint64), pairs["n"].to_numpy()
-    low = np.bincount((code & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64).reshape(256, 256)
-    last_two = (code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
-    filled = np.cumsum(np.bincount(last_two, minlength=1 << 16))
-    block_of = np.maximum(filled - 1, 0) // BLOCK_PAIRS
-    blocks = [zlib.compress(code[m].tobytes() + n[m].tobytes(), 1) for k in range(int(block_of.max()) + 1) for m in [block_of[last_two] == k]]
-    kinds = total.kinds + (texts > 0)
-    model = Model(blocks, block_of, low, hashes[order], numbers[order], (total.n or 0) + texts, kinds, texts, name=uuid.uuid4().hex)
-    return model, of[WORD]
-
-
-_HELD: dict[tuple[str, int], Trie] = {}
-
-
-def _unpacked(name: str, block: int, packed: bytes, low: np.ndarray) -> Trie:
-    """The trie of a block. A worker holds one, and lets go of it before it builds another."""
-    if (name, block) not in _HELD:
-        _HELD.clear()
-        raw = zlib.decompress(packed)
+    bytes_ = of[CONTEXT].groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    low = np.bincount(bytes_["pair"].to_numpy(), bytes_["n"].to_numpy(), 1 << 16).astype(np.int64).reshape(256, 256)
+    held, pairs = _held(of[CONTEXT])
+    pairs = pairs.sort_by("key")
+    packed = zlib.compress(pairs["key"].to_numpy().tobytes() + pairs["n"].to_numpy().tobytes(), 1)
+    model = Model(packed, held, low, hashes[order], numbers[order], (total.n or 0) + texts, total.kinds + (texts > 0), texts, name=uuid.uuid4().hex)
+    return model, counts
+
+
+_UNPACKED: dict[str, Trie] = {}
+
+
+def _unpacked(model: Model) -> Trie:
+    """The trie of the held contexts. A worker has one, and lets go of it before it builds another."""
+    if model.name not in _UNPACKED:
+        _UNPACKED.clear()
+        raw = zlib.decompress(model.packed)
         n = len(raw) // 16
-        _HELD[name, block] = Trie.of(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), low)
-    return _HELD[name, block]
-
-
-def _score_texts(model: Model, texts: pa.Array) -> np.ndarray:
-    """Log10 probabilities of a batch; several blocks follow each other and are in memory one at a time."""
-    out = np.zeros(len(texts))
-    for k, packed in enumerate(model.blocks):
-        trie = _unpacked(model.name, k, packed, model.low)
-        wanted = model.block_of == k if len(model.blocks) > 1 else None
-        for i, j, data, at in text_slices(texts, 1 << 18):
-            out[i:j] += trie.score(data, at, wanted)
-    return out
+        _UNPACKED[model.name] = Trie.of(np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int64, n, 8 * n), model.low)
+    return _UNPACKED[model.name]
+
+
+def _numbered(keys: np.ndarray, owner: np.ndarray, rows: int, name: str) -> pa.Array:
+    """For each row its distinct keys, and how often it has them."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(keys)))
+    bounds = np.searchsorted(owner[first], np.arange(rows + 1))
+    of_rows = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times, pa.int64())], [name, "times"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), of_rows)
+
+
+def _joined(rows: DataFrame, model: Model, contexts: DataFrame) -> DataFrame:
+    """``(row, beyond)``: the log10 probability of the bytes behind contexts that the tasks don't hold.
+
+    The contexts of two last bytes and all that is asked of them meet in one
+    place, where their trie is built: 256 ** 3 codes at most, whatever the
+    corpus. Each different code is looked up once.
+    """
+    asked = rows.select("row", F.inline("contexts"))
+    not_held = contexts.sparkSession.createDataFrame(pa.table({"two": pa.array(np.flatnonzero(~model.held))}))
+    pairs = contexts.withColumn("two", _last_two("key")).join(F.broadcast(not_held), "two").select("two", "key", "n")
+    codes = asked.select("code").distinct().withColumn("two", _last_two("code"))
+    low = model.low
+
+    def looked_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        trie = Trie.of(left["key"].to_numpy().view(np.uint64), left["n"].to_numpy(), low)
+        code = right["code"].to_numpy().view(np.uint64)
+        return pa.table({"code": right["code"], "log10": pa.array(trie.of_bytes(lambda k: (code >> np.uint64(8 * k)).astype(np.uint8)))})
+
+    found = written(pairs.groupBy("two").cogroup(codes.groupBy("two")).applyInArrow(looked_up, "code long, log10 double"), "lm-probabilities")
+    return asked.join(found, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("beyond"))
 
 
 def _lookup(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -296,51 +345,50 @@ def _lookup(keys: np.ndarray, sorted_keys: np.ndarray, values: np.ndarray) -> np
     return np.where(sorted_keys[at] == keys, values[at], 0)
 
 
-_TAIL = pa.list_(pa.struct([("word", pa.int64()), ("times", pa.int64())]))
-
-
-def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Words that are not among the commonest are joined to the table of all
-    counts, with how often each text has them.
+    counts, with how often each text has them; so are contexts that the tasks
+    don't hold, to their probabilities.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         end = np.log10(m.texts + 1)
+        trie = _unpacked(m)
         for batch in it:
             ids = batch.column(0)
             held = folds(ids.to_pylist(), FOLDS) == HELD_OUT
-            scores = _score_texts(m, batch.column(1))
-            for i, j, data, at in text_slices(batch.column(1)):
+            for i, j, data, at in text_slices(batch.column(1), 1 << 18):
+                scores = trie.score(data, at, m.held)
+                code, of_code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                if m.held is not None:
+                    code, of_code = codes(data, at), np.repeat(np.arange(j - i), np.diff(at) + 1)
+                    beyond = ~m.held[(code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]
+                    code, of_code = code[beyond], of_code[beyond]
                 found = W.find(data, at)
                 keys, text = W.Hasher(data)(found.start, found.end), found.texts
                 numbers = _lookup(keys, m.head, m.head_counts)
                 common = numbers > 0
                 base = np.bincount(text, np.where(common, np.log10(numbers + 1), 0), j - i) + end
                 known = np.bincount(text, common, j - i).astype(np.int64) + (m.texts > 0)
-                rare, owner = keys[~common], text[~common]
-                order = np.lexsort((rare, owner))
-                rare, owner = rare[order], owner[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare)))
-                bounds = np.searchsorted(owner[first], np.arange(j - i + 1))
-                tail = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times, pa.int64())], ["word", "times"]))
                 yield pa.record_batch([
-                    ids.slice(i, j - i).cast(pa.int64()), pa.array(held[i:j]), pa.array(np.diff(found.at) + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(scores[i:j]), tail.cast(_TAIL),
-                ], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+                    ids.slice(i, j - i).cast(pa.int64()), pa.array(held[i:j]), pa.array(np.diff(found.at) + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(scores),
+                    _numbered(keys[~common], text[~common], j - i, "word"), _numbered(code, of_code, j - i, "code"),
+                ], names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "tail", "contexts"])
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: long, times: long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: long, times: long>>, contexts array<struct<code: long, times: long>>"
     scored = documents.select("doc_id", "text").mapInArrow(batches, schema).withColumn("row", F.monotonically_increasing_id())
     rows = written(scored, "lm-rows")
-    tail = rows.select("row", F.inline("tail")).join(words.select(F.col("key").alias("word"), "n"), "word")
-    more = tail.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
+    words = counts.filter(F.col("kind") == WORD).select(F.col("key").alias("word"), "n")
+    more = rows.select("row", F.inline("tail")).join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     none: Column = F.lit(0)
     base = F.col("base") + F.coalesce("more", none) - F.col("n_tokens") * float(np.log10(model.denominator))
-    return rows.drop("tail").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
+    whole = rows.drop("tail", "contexts").join(more, "row", "left")
+    score = F.col("score")
+    if model.held is not None:
+        whole = whole.join(_joined(rows, model, counts.filter(F.col("kind") == CONTEXT)), "row", "left")
+        score = score + F.coalesce("beyond", none)
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", none)).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
