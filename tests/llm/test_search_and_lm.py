@@ -79,6 +79,30 @@ def test_recall_over_many_ranges_and_blocks(spark, monkeypatch):
     assert hits >= 0.9 * 5 * len(want) and all(len(v) == 5 for v in got.values())
 
 
+@pytest.mark.parametrize(("clusters", "most"), [(0, 0.97), (60, 0.4)])
+def test_windows_find_nine_of_ten_with_less_work_than_all_pairs(clusters, most):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30_000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.3 * x
+    index = ann.fit(x[: ann.SAMPLE], len(x) // ann.RANGE)
+    at, unit, asked = index.at(x), x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(0, 30_000, 150)
+    assert index.ranges >= 10 and index.curves >= 2
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -2
+    inside = np.abs(at[:, asked, None] - at[:, None, :]) <= index.reach
+    assert np.take_along_axis(inside.any(0), np.argsort(-near, axis=1)[:, :5], 1).mean() >= 0.9
+    assert inside[0].mean() + sum((i & ~inside[0]).mean() for i in inside[1:]) < most
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200])
+def test_squares_that_overflow_or_vanish(spark, size):
+    rows = [(50, [size, size, 0.0]), (1, [2 * size, 2 * size, 0.0]), (2, [size, 0.0, 0.0]), (3, [0.0, 0.0, 1.0])]
+    got = answers(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50))
+    assert [i for i, _ in got[50]] == [1, 2, 3]
+    assert np.allclose([s for _, s in got[50]], [1, math.sqrt(0.5), 0], atol=1e-12)
+
+
 def test_query_recall_on_the_whole_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
     x = np.array([v for _, v in rows], float)
@@ -138,13 +162,16 @@ def baseline(rows):
     return {i: (held[i], len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) for i, ws in tokens.items()}
 
 
-@pytest.mark.parametrize("head", [0, 3, 1 << 17])
-def test_scores_equal_brute_force(spark, monkeypatch, head):
+@pytest.mark.parametrize(("head", "pairs"), [(0, 1 << 20), (3, 0), (1 << 17, 300)])
+def test_scores_equal_brute_force(spark, monkeypatch, head, pairs):
+    """Commonest words and contexts are held by the tasks, the others joined: none, some or all."""
     monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "HELD_PAIRS", pairs)
     rnd = random.Random(1)
     rows = list(enumerate(corpus())) + [(100 + i, "".join(rnd.choice("abXy zé日") for _ in range(30))) for i in range(30)] + [(200, None), (201, "")]
     df = frame(spark, rows).repartition(4)
     model, words = lm.train(df)
+    assert len(zlib.decompress(model.packed)) // 16 <= pairs and (model.held is None) == (pairs == 1 << 20)
     got = {r.doc_id: r for r in lm.score(df, model, words).collect()}
     want = baseline(rows)
     score = brute_ppm([t or "" for i, t in rows if not want[i][0]])
