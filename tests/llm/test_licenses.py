@@ -61,6 +61,30 @@ def test_postfix_order_and_failures():
         assert "unparsed" in licenses.scan(f"SPDX-License-Identifier: {text}\n").labels, text
 
 
+@pytest.mark.parametrize(("text", "labels"), [("MIT and more text", {"spdx:mit"}), ("MIT or (see below)", {"unparsed"}), ("LicenseRef-own OR Zlib with care", {"spdx:licenseref-own", "spdx:zlib"}), ("the usual", {"unparsed"})])
+def test_prose_behind_an_expression_gives_no_identifiers(text, labels):
+    assert licenses.scan(f"SPDX-License-Identifier: {text}\n").labels == labels
+
+
+def test_choices_differ_from_obligations_in_the_query(spark, tmp_path):
+    rows = [(1, "SPDX-License-Identifier: MIT OR GPL-2.0"), (2, "SPDX-License-Identifier: MIT AND GPL-2.0"), (3, "nothing")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.freedom, r.expressions) for r in registry.QUERIES["op5_licenses"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0.9, "MIT OR GPL-2.0"), 2: (0.4, "MIT AND GPL-2.0"), 3: (None, "")}
+
+
+def test_places_of_many_hits_take_time_in_proportion():
+    import time
+
+    def seconds(n: int) -> float:
+        began = time.process_time()
+        assert licenses.scan("mit license " * n).base[-1] == (2 * n - 2, "mit")
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 40 * seconds(20_000)  # 8 times as many, 64 times the time if each counted from the start
+
+
 def test_edges(spark):
     rows = edge_rows() + [(8, "All rights reserved. Licensed under the Apache License.")]
     got = licenses.find(frame(spark, rows)).collect()

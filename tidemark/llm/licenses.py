@@ -4,7 +4,8 @@ An Aho-Corasick automaton over the words of a text finds known phrases and
 the tag that announces a licence expression. A shunting-yard parser turns an
 announced expression into postfix, from which its identifiers and how free
 its choices leave the reader are evaluated: ``OR`` takes its freest side,
-``AND`` its strictest, ``WITH`` loosens a licence by an exception.
+``AND`` its strictest, ``WITH`` loosens a licence by an exception. Words of
+letters alone are identifiers only if they are known ones.
 
 Words are runs of digits, letters and characters beyond ASCII, with A-Z in
 lower case; a phrase is found where its words stand consecutively, whatever
@@ -58,6 +59,9 @@ FREEDOM = {
     "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "agpl": 0.3, "gpl": 0.4,
 }
 
+#: Fixed: identifiers of letters alone. All others have a digit, a hyphen, a dot or a plus sign.
+SHORT = {"aladdin", "beerware", "curl", "ftl", "ijg", "isc", "json", "libpng", "mit", "ncsa", "ntp", "openssl", "php", "python", "ruby", "tcl", "unlicense", "wtfpl", "xnet", "zed", "zlib"}
+
 #: Evidence that one base phrase, one notice and one expression give; together they combine by noisy-or.
 EVIDENCE = {"base": 0.7, "notice": 0.4, "expression": 0.9}
 
@@ -80,6 +84,10 @@ _TOKEN = re.compile(r"[^\S\n]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 _LINE_END = re.compile(r"[^\S\n]*\n[^\S\n]*(?:\*(?!/)|#+|;+|%+|//+|--+)?")
 
 
+def _identifies(word: str) -> bool:
+    return word.lower() in SHORT or not word.isalpha()
+
+
 def tokens(text: str, at: int = 0) -> list[str]:
     """The longest run of tokens that alternate as an expression's do, from ``at``; the line's end ends it if it could be whole there."""
     found: list[str] = []
@@ -94,6 +102,8 @@ def tokens(text: str, at: int = 0) -> list[str]:
         is_operator = x.lower() in _BINDS
         if x == ")" and depth == 0 or operand != (x == "(" or not is_operator and x != ")"):
             break
+        if operand and x != "(" and not _identifies(x):
+            break  # prose goes on behind the expression
         depth += (x == "(") - (x == ")")
         operand = x == "(" or is_operator
         found.append(x)
@@ -182,14 +192,17 @@ def scan(text: str) -> Scan:
     """All that one text says on licences."""
     plain, n = normal(text)
     out = Scan(words=n)
-    hits = [(end - size + 1, kind, label) for end, (kind, label, size) in _automaton().iter(plain)]
+    hits = sorted((end - size + 1, kind, label) for end, (kind, label, size) in _automaton().iter(plain))
     if not hits:
         return out
     doubt = 1.0
     notices = set()
+    word = counted = 0
     for at, kind, label in hits:
+        word += plain.count(" ", counted, at)
+        counted = at
         if kind == "base":
-            out.base.append((plain.count(" ", 0, at), label))
+            out.base.append((word, label))
         elif kind == "notice":
             notices.add(label)
     out.base.sort()
