@@ -239,6 +239,26 @@ def test_near_pairs_equal_all_pairs(spark, family):
     assert {i: got.get(i, i) for i in texts} == want
 
 
+def test_fingerprint_classes_over_the_whole_table(spark):
+    """All pairs that share a shingle, found by an inverted index."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    sets, holders = {i: shingled(t) for i, t in docs.items()}, {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    want = least(docs, [(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    assert {r.doc_id: r.class_id for r in registry.QUERIES["fingerprint_classes"](spark, DATA).collect()} == want
+
+
+def test_near_pairs_edges(spark):
+    rows = edge_rows() + [(8, ""), (9, None), (4, "another text of the same id")]
+    _, classes = fingerprints.near_pairs(frame(spark, rows))
+    assert {r.doc_id: r.class_id for r in classes.collect()} == {1: 1, 2: 1, 3: 1, 8: 1, 9: 1}
+    links, classes = fingerprints.near_pairs(frame(spark, []))
+    assert links.count() == 0 and classes.count() == 0
+
+
 def test_fingerprint_query_over_the_whole_table(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     rows = sorted(registry.QUERIES["op8_fingerprints"](spark, DATA).collect(), key=lambda r: r.doc_id)

@@ -32,6 +32,9 @@ SHINGLE, NEAR = 5, 0.8
 #: Hash functions. Four in a row are a band, and near pairs share one: of pairs at the threshold all but 1 in 10 million do.
 HASHES = 128
 
+#: Bytes of a run of documents, as stored, at most about.
+RUN_BYTES = 1 << 26
+
 _COEFFICIENTS = np.random.default_rng(20240229).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
 _A, _B = _COEFFICIENTS[0] * np.uint64(2) + np.uint64(1), _COEFFICIENTS[1]
 
@@ -128,7 +131,9 @@ def edits(documents: DataFrame, parts: int | None = None) -> DataFrame:
     its successor. Null ids come first; rows with one id follow each other by
     a hash of their texts, all of them in one run.
     """
-    parts = parts or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size, 1 << 50) // RUN_BYTES)
 
     def made(ids: list[int | None], texts: list[str], signs: np.ndarray) -> pa.RecordBatch:
         """All rows but the last, which is only the successor of the one before."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, fingerprints, licenses, lines, lm, neardup, packing, quality, toxicity
+from tidemark.llm import ann, bpe, fingerprints, licenses, lines, lm, neardup, packing, quality, storage, toxicity
 from tidemark.llm.arrow import fold
 from tidemark.llm.labelled import FOLDS
 
@@ -62,7 +62,7 @@ def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     joined = lambda c: F.concat_ws(",", F.array_sort(F.array_distinct(c)))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
-        joined("places.label").alias("base_labels"), joined("labels").alias("labels"), "score", F.concat_ws(";", "expressions").alias("expressions"),
+        joined("places.label").alias("base_labels"), joined("labels").alias("labels"), "score", F.concat_ws(";", "expressions").alias("expressions"), "freedom",
     )
 
 
@@ -73,6 +73,15 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+@query
+def fingerprint_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class by its fingerprint: bands joined, Jaccard similarity verified. The other half of op8, whose own query has no classes."""
+    documents = table(spark, folder, "documents")
+    classes = storage.written(fingerprints.near_pairs(documents)[1], "fingerprint-classes")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 @query
 def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probabilities by words and by byte contexts."""
