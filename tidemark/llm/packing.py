@@ -28,33 +28,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import words as W
+from tidemark.llm.arrow import text_slices
 from tidemark.llm.storage import written
 
 #: Tokens of a sequence, and the id that closes a document.
 LENGTH, CLOSING = 2048, 1
-#: Runs whose ids a worker remembers, and as many parts of runs; when there are more it forgets the older half.
-REMEMBERED = 1 << 19
-#: Characters of text that are tokenized at a time.
+#: Odd runs whose ids a worker remembers, and as many words; when there are more it forgets the older half.
+REMEMBERED = 1 << 20
+#: Bytes of text that are tokenized at a time.
 GATHERED = 1 << 20
 #: Fixed: a character that stands between runs when many are tokenized at once.
 _MARK = "\x02"
-#: Fixed: letters, then ASCII marks without the apostrophe, which may begin a part of its own.
-_PLAIN = re.compile(r"([^\W\d_]*)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed: letters of any script.
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Fixed: what the vocabulary's last token of a word ends with.
 _END = "</w>"
 #: Pieces of one length that one task ranks, about.
 RANKED = 1 << 20
 
 
+#: Kinds of bytes. Letters are A-Z, a-z and all beyond ASCII, marks are other printable ASCII; a run with any other byte is odd.
+_BLANK, _LETTER, _SIGN, _ODD = range(4)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, _ODD, np.uint8)
+    kinds[33:127] = _SIGN
+    kinds[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+    # an apostrophe may begin a word, a bar is part of special tokens, digits are words each
+    kinds[[ord(c) for c in "'|0123456789"]] = _ODD
+    kinds[[ord(" "), ord("\n")]] = _BLANK
+    return kinds
+
+
+_KINDS = _kinds()
+_FOLDED = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
+
+
 class Recent:
-    """Values by string; when there are too many, those that weren't asked for lately are forgotten."""
+    """Values by key; when there are too many, those that weren't asked for lately are forgotten."""
 
     def __init__(self, most: int) -> None:
         self.most = most
-        self.now: dict[str, bytes | None] = {}
-        self._before: dict[str, bytes | None] = {}
+        self.now: dict[bytes, bytes | None] = {}
+        self._before: dict[bytes, bytes | None] = {}
 
-    def missing(self, keys: set[str]) -> list[str]:
+    def missing(self, keys: list[bytes]) -> list[bytes]:
         """The keys without a value; those of the others are in ``now``."""
         if len(self.now) + len(keys) > self.most // 2:
             self.now, self._before = {}, self.now
@@ -85,75 +105,105 @@ class Tokens:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_whole(self, runs: list[str]) -> None:
+    def _learn_runs(self, runs: list[bytes]) -> None:
         """Remember the ids of runs: many in one call, told apart by the id of the mark between them."""
-        known = self._runs.now
-        marked = [r for r in runs if _MARK in r]
-        for r, ids in zip(marked, self._encoded(marked), strict=True):
+        known, mark = self._runs.now, _MARK.encode()
+        marked = [r for r in runs if mark in r]
+        for r, ids in zip(marked, self._encoded([r.decode() for r in marked]), strict=True):
             known[r] = ids.tobytes()
-        plain = [r for r in runs if _MARK not in r] if marked else runs
+        plain = [r for r in runs if mark not in r]
         for i in range(0, len(plain), 512):
             group = plain[i : i + 512]
-            (ids,) = self._encoded([f" {_MARK} ".join(group)])
+            (ids,) = self._encoded([f" {_MARK} ".encode().join(group).decode()])
             _cut(known, group, ids, np.flatnonzero(ids == self._between), 1)
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        """Remember the ids of parts that are one word to the tokenizer, and nothing of those that are several.
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Remember the ids of parts that are one word to the tokenizer wherever they stand, and None of others.
 
-        As each part is a word at least, a group is of single words exactly
-        if it has as many ends of words as parts.
+        Beyond ASCII those are letters only; as each part is a word at least,
+        a group is of single words exactly if it has as many ends of words as
+        parts.
         """
         known = self._parts.now
-        for i in range(0, len(parts), 512):
-            group = parts[i : i + 512]
-            (ids,) = self._encoded([" ".join(group)])
+        plain = []
+        for p in parts:
+            if p.isascii() or _LETTERS.fullmatch(p.decode()):
+                plain.append(p)
+            else:
+                known[p] = None
+        for i in range(0, len(plain), 512):
+            group = plain[i : i + 512]
+            (ids,) = self._encoded([b" ".join(group).decode()])
             ends = np.flatnonzero(self._ends[ids]) + 1
             if len(ends) == len(group) and ends[-1] == len(ids):
                 _cut(known, group, ids, ends[:-1], 0)
             else:
-                for part, own in zip(group, self._encoded(group), strict=True):
+                for part, own in zip(group, self._encoded([p.decode() for p in group]), strict=True):
                     single = self._ends[own].sum() == 1 and self._ends[own[-1]]
                     known[part] = own.tobytes() if single else None
 
-    def _learn(self, runs: list[str]) -> None:
-        """Remember the ids of runs: of letters and marks behind them as those of both, of others as a whole."""
-        split: list[tuple[str, str, str]] = []
-        whole: list[str] = []
-        parts: set[str] = set()
-        for r in runs:
-            if found := _PLAIN.fullmatch(r):
-                letters, marks = found.groups()
-                if letters.isascii():
-                    letters = letters.lower()
-                split.append((r, letters, marks))
-                parts.add(letters)
-                parts.add(marks)
-            else:
-                whole.append(r)
-        parts.discard("")
-        self._learn_parts(self._parts.missing(parts))
-        known, of = self._runs.now, {**{"": b""}, **{p: self._parts.now[p] for p in parts}}
-        for r, letters, marks in split:
-            a, b = of[letters], of[marks]
-            if a is None or b is None:
-                whole.append(r)
-            else:
-                known[r] = a + b
-        self._learn_whole(whole)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 16-bit numbers.
+    def encode_buffer(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a buffer, as unsigned 16-bit numbers.
 
         Normalizing, splitting and merging all stay within runs between
-        blanks, so each run is tokenized once and its ids are remembered.
+        blanks. A run is letters and signs in turn, which are words each, or
+        odd, and tokenized as a whole. Each different word or odd run is
+        looked up once.
         """
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(self._runs.missing(set().union(*runs)))
-        get = self._runs.now.__getitem__
-        return [np.frombuffer(b"".join(map(get, rs)), "<u2") for rs in runs]
+        if not len(data):
+            return [np.zeros(0, "<u2")] * (len(at) - 1)
+        kind = _KINDS[data]
+        change = np.ones(len(data), bool)
+        change[1:] = kind[1:] != kind[:-1]
+        edge = at[:-1][np.diff(at) > 0]
+        change[edge] = True
+        start = np.flatnonzero(change)
+        end = np.append(start[1:], len(data))
+        begins = np.ones(len(start), bool)  # a run
+        begins[1:] = kind[start[1:] - 1] == _BLANK
+        begins[np.searchsorted(start, edge)] = True
+        of = kind[start]
+        start, end, begins, of = (x[of != _BLANK] for x in (start, end, begins, of))
+        if not len(start):
+            return [np.zeros(0, "<u2")] * (len(at) - 1)
+        run = np.cumsum(begins) - 1
+        run_end = end[np.append(np.flatnonzero(begins)[1:], len(start)) - 1]
+        odd = np.zeros(run[-1] + 1, bool)
+        odd[run[of == _ODD]] = True
+        raw, folded = data.tobytes(), _FOLDED[data].tobytes()
+        hashes = W.Hasher(data)(start, end)
+        exact = None
+        while True:
+            used = np.flatnonzero(~odd[run] | begins)
+            whole = odd[run[used]]
+            first, last = start[used], np.where(whole, run_end[run[used]], end[used])
+            h = hashes[used]
+            if whole.any():
+                exact = exact or W.Hasher(data, fold=False)
+                h[whole] = W.mix(~exact(first[whole], last[whole]))
+            _, one, which = np.unique(h, return_index=True, return_inverse=True)
+            names = [(raw if o else folded)[i:j] for o, i, j in zip(whole[one].tolist(), first[one].tolist(), last[one].tolist(), strict=True)]
+            runs, parts = ([n for n, o in zip(names, whole[one].tolist(), strict=True) if o == kind_of] for kind_of in (True, False))
+            self._learn_runs(self._runs.missing(runs))
+            self._learn_parts(self._parts.missing(parts))
+            ids = [(self._runs if o else self._parts).now[n] for n, o in zip(names, whole[one].tolist(), strict=True)]
+            several = np.array([x is None for x in ids])
+            if not several.any():
+                break
+            odd[run[used[several[which]]]] = True
+        size = np.array([len(x) // 2 for x in ids])
+        flat, offset = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
+        count = size[which]
+        to = np.cumsum(count)
+        out = flat[np.arange(to[-1]) + np.repeat(offset[which] - to + count, count)]
+        return np.split(out, np.append(0, to)[np.searchsorted(first, at[1:-1])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [x for *_, data, at in text_slices(pa.array(texts, pa.string()), GATHERED) for x in self.encode_buffer(data, at)]
 
 
-def _cut(known: dict[str, bytes | None], names: list[str], ids: np.ndarray, ends: np.ndarray, left_out: int) -> None:
+def _cut(known: dict[bytes, bytes | None], names: list[bytes], ids: np.ndarray, ends: np.ndarray, left_out: int) -> None:
     """Remember the ids up to each end, and from there on without so many of them."""
     raw, start = ids.tobytes(), 0
     for name, end in zip(names, [*(2 * ends).tolist(), len(raw)], strict=True):
@@ -185,17 +235,11 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, ids: bool = Fa
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
         for batch in it:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            i = 0
-            while i < len(texts):
-                part, size, first = [], 0, i
-                while i < len(texts) and size < GATHERED:
-                    part.append(texts[i].as_py() or "")
-                    size += len(part[-1])
-                    i += 1
+            names = batch.column(0).to_pylist()
+            for i, j, data, at_text in text_slices(batch.column(1), GATHERED):
                 rows: list[tuple] = []
                 cut: list[np.ndarray] = []
-                for name, found in zip(names[first:i], tokens.encode(part), strict=True):
+                for name, found in zip(names[i:j], tokens.encode_buffer(data, at_text), strict=True):
                     all_ids = np.append(found.astype("<u4"), np.uint32(CLOSING))
                     for at in range(0, len(all_ids), length):
                         piece = all_ids[at : at + length]
