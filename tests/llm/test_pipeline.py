@@ -54,6 +54,12 @@ def test_edge_rows_pass_through(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(1, 8)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert "sequence_id" in corpus_pipeline.run(spark, folder).columns
+    # with all labels alike both filters keep everything: what goes are copies, which are blank texts here
+    clean = tmp_path / "clean"
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{clean}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(1, 8)], "doc_id long, quality int, toxic int").write.parquet(f"{clean}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(clean)).filter("start = 0").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "4", "4", "5", "6", "7", "None", "None"]
     empty = tmp_path / "empty"
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").filter(F.lit(False)).write.parquet(f"{empty}/{name}.parquet")
