@@ -116,6 +116,20 @@ def test_the_sample_is_bounded_and_never_held_out(spark):
     assert dict(zip(ids, y, strict=True)).get(8, 1) == 1
 
 
+def test_the_sample_is_bounded_in_bytes_by_whole_texts(spark):
+    texts = {i: "x" * (1 if i % 3 else 1000) + str(i) for i in range(60)} | {61: None, 62: ""}
+    docs, labels = frame(spark, list(texts.items())), spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    whole, _, known = sample(docs, labels, "toxic", 1000)
+    assert dict(zip(known, whole.to_pylist(), strict=True)) == {i: t or "" for i, t in texts.items() if i in known}
+    for size in (0, 50, 2500, 1 << 20):
+        got, y, ids = sample(docs, labels, "toxic", 1000, size)
+        sizes = [len(t) for t in got.to_pylist()]
+        assert sum(sizes) <= size and got.to_pylist() == [texts[i] or "" for i in ids] and y == [i % 2 for i in ids]
+        left_out = [len(texts[i] or "") for i in known if i not in ids]
+        assert all(n > size - sum(sizes) for n in left_out)
+    assert sample(docs, labels, "toxic", 1000, 0)[2] == [i for i in known if not texts[i]]
+
+
 def test_a_passage_alone_has_the_figures_it_has_in_its_text():
     """All but the text's own number of words; passages are of PASSAGE words."""
     rnd = random.Random(3)

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import written
+from tidemark.llm.storage import settled, written
 
 #: Lines of fewer words only go if an earlier one is the same: with one word changed they are less than 0.8 alike.
 MIN_WORDS = 5
@@ -195,7 +195,8 @@ def dedup(documents: DataFrame) -> DataFrame:
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     full = F.coalesce(text, F.lit(""))
     keyed = inner.withColumns({"id": F.coalesce(doc_id.cast("long"), F.lit(_LEAST)), "hash": F.xxhash64(full, F.length(full))})
-    joined = keyed.join(duplicates(documents), ["id", "hash"], "left")
+    gone = settled(documents.sparkSession, "gone-lines", lambda: duplicates(documents))
+    joined = keyed.join(gone, ["id", "hash"], "left")
     lines = F.split(full, "\n", -1)
     stay = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
     new = {"text": F.when(F.col("gone").isNull(), text).otherwise(stay)}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.groups import Measure, near_classes, signatures
-from tidemark.llm.storage import written
+from tidemark.llm.storage import settled
 
 #: Words of a k-mer, and the similarity from which texts are near: 1 - edits / words of the longer.
 SHINGLE, NEAR = 3, 0.8
@@ -231,13 +231,13 @@ def near_duplicates(documents: DataFrame, least: float = NEAR) -> tuple[DataFram
 
 def classes(documents: DataFrame, least: float = NEAR) -> DataFrame:
     """Every row's doc_id with the class_id of its group, which is its own id if it is alone."""
-    known = written(near_duplicates(documents, least)[1], "classes")
+    known = settled(documents.sparkSession, "classes", lambda: near_duplicates(documents, least)[1])
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     return rows.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(documents: DataFrame, least: float = NEAR) -> DataFrame:
     """The documents whose id is their class's, so one of each group. Rows that share that id all stay, as do rows with a null id."""
-    _, groups = near_duplicates(documents, least)
-    gone = written(groups.filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id")), "gone")
+    others = lambda: near_duplicates(documents, least)[1].filter("doc_id != class_id").select(F.col("doc_id").alias("gone_id"))
+    gone = settled(documents.sparkSession, "gone", others)
     return documents.join(gone, documents["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

@@ -77,7 +77,7 @@ def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def fingerprint_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's class by its fingerprint: bands joined, Jaccard similarity verified. The other half of op8, whose own query has no classes."""
     documents = table(spark, folder, "documents")
-    classes = storage.written(fingerprints.near_pairs(documents)[1], "fingerprint-classes")
+    classes = storage.settled(spark, "fingerprint-classes", lambda: fingerprints.near_pairs(documents)[1])
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"))
     return rows.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

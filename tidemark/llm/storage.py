@@ -8,9 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written so far within ``passing``.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; in local mode without one, a temporary folder of this machine."""
@@ -26,9 +32,45 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
-    Tables stay until the folder is cleaned, as checkpoint files do.
+    The table stays until the folder is cleaned, as checkpoint files do,
+    unless it is written within ``passing``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _passing.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables written within are removed at the end, also of a failure, but for those that are taken out of the list."""
+    made: list[str] = []
+    token = _passing.set(made)
+    try:
+        yield made
+    finally:
+        _passing.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``make`` returns, written; tables that it wrote on the way are removed.
+
+    Nothing else may go on reading those: ``make`` returns all that is needed.
+    """
+    with passing(spark) as made:
+        out = written(make(), name)
+        path = made.pop()
+    outer = _passing.get()
+    if outer is not None:
+        outer.append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
