@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, neardup, packing, quality, toxicity
-from tidemark.llm.storage import written
+from tidemark.llm.storage import passing, settled
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's rows are written and read again by the next."""
+    """All stages over the documents; each one's rows are written and read again by the next.
+
+    In the end only what the last stage reads, and what it writes, is left.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    with passing(spark) as made:
+        for name, stage in STAGES[:-1]:
+            docs = settled(spark, f"pipeline-{name.replace(' ', '-')}", partial(stage, spark, docs, sf_dir))
+        made.pop()
     return STAGES[-1][1](spark, docs, sf_dir)
