@@ -35,9 +35,9 @@ from tidemark.llm.storage import written
 #: Tokens of a sequence, and the id that closes a document.
 LENGTH, CLOSING = 2048, 1
 #: Odd runs whose ids a worker remembers, and as many words; when there are more it forgets the older half.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 #: Bytes of text that are tokenized at a time.
-GATHERED = 1 << 18
+GATHERED = 1 << 20
 #: Fixed: a character that stands between runs when many are tokenized at once.
 _MARK = "\x02"
 #: Fixed: letters of any script.
