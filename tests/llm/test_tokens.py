@@ -1,8 +1,13 @@
 """BPE and packing against the tokenizers library."""
 
+import gc
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +17,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, packing, registry
+from tidemark.llm import words as W
 
+ROOT = Path(__file__).parents[2]
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 ALPHABET = [*"aA zÉé\t\n  '\x1c\x85\x02　日ß<>0٣½ʼΣς’\x00", "̈́", "\U0001d518", "\U0001f600", "​", " ", "'ll", "<|endoftext|>", "ing", "İ"]
 
@@ -156,3 +163,64 @@ def test_a_hot_length_is_ranked_in_parts(spark):
     for r in got:
         by[r.sequence_id] += r.length
     assert max(by.values()) <= 2048 and sorted(by) == list(range(len(by)))
+
+
+def test_remembered_words_take_little_memory():
+    """What a worker keeps between tasks: 600,000 words as flat arrays, not as objects of 200 bytes."""
+    own = packing.Recent(1 << 21)
+    gc.collect()
+    tracemalloc.start()
+    for i in range(0, 600_000, 20_000):
+        keys = W.mix(np.arange(i, i + 20_000, dtype=np.uint64))
+        keys.sort()
+        assert len(own.missing(keys)) == len(keys)
+        own.now = own.now.joined(packing.Ids.of(keys, [k.tobytes()[: 2 + 2 * (k % 3)] for k in keys]))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 40 * 600_000
+    some = W.mix(np.arange(0, 700_000, 7, dtype=np.uint64))
+    at, there = own.now.find(some)
+    assert there.sum() == -(-600_000 // 7)
+    assert own.now.at(at[there]).tobytes() == b"".join(k.tobytes()[: 2 + 2 * (k % 3)] for k in some[there])
+
+
+def test_words_are_remembered_by_what_is_asked_lately():
+    """Words of the last slices stay known, older ones are learnt again, and long runs can't fill the memory."""
+    own = packing.Tokens(WORD)
+    asked = []
+    learn = own._tokenizer
+    own._tokenizer = type("Counting", (), {"encode_batch_fast": lambda _, texts, **k: (asked.extend(texts), learn.encode_batch_fast(texts, **k))[1]})()
+    own._known = packing.Recent(40)
+    first = own.encode(["alpha beta gamma"])[0].tolist()
+    n = len(asked)
+    assert own.encode(["gamma beta"])[0].tolist() and len(asked) == n
+    for k in range(20):
+        own.encode([" ".join(f"w{chr(97 + k)}{c}" for c in "abcdefghij")])
+        assert len(own._known.now.key) + len(own._known._before.key) <= 40
+    n = len(asked)
+    assert own.encode(["alpha beta gamma"])[0].tolist() == first and len(asked) > n
+    for k in range(30):
+        own.encode([chr(0x4E00 + k) * 500 + "'"])
+    assert len(own._known.now.flat) + len(own._known._before.flat) <= 2 * (4 * 40 + 3 * 500)
+
+
+def test_a_worker_gives_back_what_it_freed():
+    held = """
+import re, sys
+import numpy as np, pyarrow as pa
+from tidemark.llm.arrow import released
+mb = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+kept = []
+def kernel(it):
+    np.ones(1 << 21)  # freed at once; from then on the C library keeps blocks of that size
+    for batch in it:
+        parts = [np.ones(1 << 17) for _ in range(100)]
+        kept.append(np.ones(1 << 17))  # lies behind them
+        del parts
+        yield batch
+batch = pa.record_batch([pa.array([1])], names=["x"])
+before = mb()
+assert list(released(kernel)(iter([batch, batch]))) == [batch, batch]
+print(mb() - before)
+"""
+    assert float(subprocess.run([sys.executable, "-c", held], check=True, capture_output=True, text=True, cwd=ROOT).stdout) < 40

@@ -7,8 +7,9 @@ Working memory is a few times ``SLICE_BYTES``, or the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,3 +57,30 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
     data, at = strings(column)
     for i, j in slices(at, most):
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+_Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def release() -> None:
+    """Give freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def released(kernel: _Kernel) -> _Kernel:
+    """The same kernel; at its end the worker gives back what was freed.
+
+    Arrow and the C library would keep that for the worker's next task, which
+    may be long in coming, beside all that the executor does meanwhile.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(it)
+        finally:
+            release()
+
+    return run

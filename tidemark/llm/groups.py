@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import slices, strings, text_slices
+from tidemark.llm.arrow import released, slices, strings, text_slices
 from tidemark.llm.storage import written
 
 #: Documents of a block, about, and features of them: a cell has two blocks, however large its bucket is.
@@ -151,9 +151,9 @@ def _with_leaders(members: DataFrame, docs: DataFrame, texts: DataFrame, measure
 
     pairs = members.filter("doc != leader").select("doc", "leader").distinct()
     sides = pairs.join(docs.toDF("doc", "size", "sign"), "doc").join(docs.toDF("leader", "leader_size", "leader_sign"), "leader")
-    found = written(sides.select("doc", "leader", "size", "sign", "leader_size", "leader_sign").mapInArrow(likely, "doc long, leader long"), "likely")
+    found = written(sides.select("doc", "leader", "size", "sign", "leader_size", "leader_sign").mapInArrow(released(likely), "doc long, leader long"), "likely")
     both = found.join(texts.toDF("doc", "text"), "doc").join(texts.toDF("leader", "leader_text"), "leader")
-    return both.select("doc", "leader", "text", "leader_text").mapInArrow(verify, "a long, b long, likeness double")
+    return both.select("doc", "leader", "text", "leader_text").mapInArrow(released(verify), "a long, b long, likeness double")
 
 
 @dataclass
@@ -295,7 +295,7 @@ def near_classes(documents: DataFrame, measure: Measure) -> tuple[DataFrame, Dat
 
     text = F.coalesce("text", F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.length(text), text).alias("k2")).filter("doc is not null")
-    every = written(rows.mapInArrow(described, "doc long, k1 long, k2 long, size long, sign binary, keys array<long>"), "described")
+    every = written(rows.mapInArrow(released(described), "doc long, k1 long, k2 long, size long, sign binary, keys array<long>"), "described")
     unlike = written(every.groupBy("doc").agg(F.min("k1").alias("own"), F.max("k1").alias("k")).filter("own != k").select("doc", "own"), "several-texts")
 
     def one(of: DataFrame) -> DataFrame:

@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import text_slices
+from tidemark.llm.arrow import released, text_slices
 from tidemark.llm.storage import written
 
 #: Tokens of a sequence, and the id that closes a document.
 LENGTH, CLOSING = 2048, 1
-#: Odd runs whose ids a worker remembers, and as many words; when there are more it forgets the older half.
+#: Words and odd runs whose ids a worker remembers, by 64-bit hashes; when there are more, or their ids are over four times as many, it forgets the older half.
 REMEMBERED = 1 << 20
 #: Bytes of text that are tokenized at a time.
 GATHERED = 1 << 20
@@ -66,24 +66,65 @@ _KINDS = _kinds()
 _FOLDED = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 
 
+@dataclass
+class Ids:
+    """Ids by key: those of ``key[k]``, ascending, are ``size[k]`` numbers of ``flat`` from ``start[k]`` on."""
+
+    key: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    flat: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, raw: list[bytes]) -> Ids:
+        size = np.array([len(x) // 2 for x in raw], np.int32)
+        return cls(key, (np.cumsum(size, dtype=np.int64) - size).astype(np.int32), size, np.frombuffer(b"".join(raw), "<u2"))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place, and whether it is there."""
+        if not len(self.key):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return at, self.key[at] == keys
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the keys at these places, one after another."""
+        count = self.size[places]
+        to = np.cumsum(count, dtype=np.int64)
+        return self.flat[np.arange(to[-1] if len(to) else 0) + np.repeat(self.start[places] - to + count, count)]
+
+    def taken(self, places: np.ndarray) -> Ids:
+        """Only the keys at these places, ascending."""
+        size = self.size[places]
+        return Ids(self.key[places], (np.cumsum(size, dtype=np.int64) - size).astype(np.int32), size, self.at(places))
+
+    def joined(self, more: Ids) -> Ids:
+        """With other keys and their ids."""
+        if not len(more.key):
+            return self
+        at = np.searchsorted(self.key, more.key)
+        start = np.insert(self.start, at, more.start + np.int32(len(self.flat)))
+        return Ids(np.insert(self.key, at, more.key), start, np.insert(self.size, at, more.size), np.concatenate([self.flat, more.flat]))
+
+
+_NONE = Ids.of(np.zeros(0, np.uint64), [])
+
+
 class Recent:
-    """Values by key; when there are too many, those that weren't asked for lately are forgotten."""
+    """Ids by hashed key in flat arrays; when there are too many, those that weren't asked for lately are forgotten."""
 
     def __init__(self, most: int) -> None:
         self.most = most
-        self.now: dict[bytes, bytes | None] = {}
-        self._before: dict[bytes, bytes | None] = {}
+        self.now = self._before = _NONE
 
-    def missing(self, keys: list[bytes]) -> list[bytes]:
-        """The keys without a value; those of the others are in ``now``."""
-        if len(self.now) + len(keys) > self.most // 2:
-            self.now, self._before = {}, self.now
-        now, before = self.now, self._before
-        unknown = [k for k in keys if k not in now]
-        for k in unknown:
-            if k in before:
-                now[k] = before[k]
-        return [k for k in unknown if k not in now]
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys, different and ascending, that have no ids; those of the others are in ``now``."""
+        if len(self.now.key) + len(keys) > self.most // 2 or len(self.now.flat) > 4 * self.most:
+            self.now, self._before = _NONE, self.now
+        unknown = np.flatnonzero(~self.now.find(keys)[1])
+        at, there = self._before.find(keys[unknown])
+        self.now = self.now.joined(self._before.taken(at[there]))
+        return unknown[~there]
 
 
 class Tokens:
@@ -96,7 +137,7 @@ class Tokens:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._runs, self._parts = Recent(REMEMBERED), Recent(REMEMBERED)
+        self._known = Recent(REMEMBERED)
         (self._between,) = self._tokenizer.encode(_MARK, add_special_tokens=False).ids
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -105,9 +146,9 @@ class Tokens:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
-        """Remember the ids of runs: many in one call, told apart by the id of the mark between them."""
-        known, mark = self._runs.now, _MARK.encode()
+    def _of_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of runs: many in one call, told apart by the id of the mark between them."""
+        known, mark = {}, _MARK.encode()
         marked = [r for r in runs if mark in r]
         for r, ids in zip(marked, self._encoded([r.decode() for r in marked]), strict=True):
             known[r] = ids.tobytes()
@@ -116,21 +157,22 @@ class Tokens:
             group = plain[i : i + 512]
             (ids,) = self._encoded([f" {_MARK} ".encode().join(group).decode()])
             _cut(known, group, ids, np.flatnonzero(ids == self._between), 1)
+        return known
 
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        """Remember the ids of parts that are one word to the tokenizer wherever they stand, and None of others.
+    def _of_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of parts that are one word to the tokenizer wherever they stand, and none of others.
 
         Beyond ASCII those are letters only; as each part is a word at least,
         a group is of single words exactly if it has as many ends of words as
         parts.
         """
-        known = self._parts.now
+        known = {}
         plain = []
         for p in parts:
             if p.isascii() or _LETTERS.fullmatch(p.decode()):
                 plain.append(p)
             else:
-                known[p] = None
+                known[p] = b""
         for i in range(0, len(plain), 512):
             group = plain[i : i + 512]
             (ids,) = self._encoded([b" ".join(group).decode()])
@@ -140,7 +182,8 @@ class Tokens:
             else:
                 for part, own in zip(group, self._encoded([p.decode() for p in group]), strict=True):
                     single = self._ends[own].sum() == 1 and self._ends[own[-1]]
-                    known[part] = own.tobytes() if single else None
+                    known[part] = own.tobytes() if single else b""
+        return known
 
     def encode_buffer(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a buffer, as unsigned 16-bit numbers.
@@ -181,21 +224,21 @@ class Tokens:
             if whole.any():
                 exact = exact or W.Hasher(data, fold=False)
                 h[whole] = W.mix(~exact(first[whole], last[whole]))
-            _, one, which = np.unique(h, return_index=True, return_inverse=True)
-            names = [(raw if o else folded)[i:j] for o, i, j in zip(whole[one].tolist(), first[one].tolist(), last[one].tolist(), strict=True)]
-            runs, parts = ([n for n, o in zip(names, whole[one].tolist(), strict=True) if o == kind_of] for kind_of in (True, False))
-            self._learn_runs(self._runs.missing(runs))
-            self._learn_parts(self._parts.missing(parts))
-            ids = [(self._runs if o else self._parts).now[n] for n, o in zip(names, whole[one].tolist(), strict=True)]
-            several = np.array([x is None for x in ids])
+            keys, one, which = np.unique(h, return_index=True, return_inverse=True)
+            new = self._known.missing(keys)
+            of_runs, begin, until = (x[one[new]].tolist() for x in (whole, first, last))
+            names = [(raw if o else folded)[i:j] for o, i, j in zip(of_runs, begin, until, strict=True)]
+            runs, parts = ([n for n, o in zip(names, of_runs, strict=True) if o == kind_of] for kind_of in (True, False))
+            runs, parts = self._of_runs(runs), self._of_parts(parts)
+            learned = Ids.of(keys[new], [(runs if o else parts)[n] for n, o in zip(names, of_runs, strict=True)])
+            known = self._known.now = self._known.now.joined(learned)
+            at_key, _ = known.find(keys)
+            several = (known.size[at_key] == 0) & ~whole[one]
             if not several.any():
                 break
             odd[run[used[several[which]]]] = True
-        size = np.array([len(x) // 2 for x in ids])
-        flat, offset = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(size) - size
-        count = size[which]
-        to = np.cumsum(count)
-        out = flat[np.arange(to[-1]) + np.repeat(offset[which] - to + count, count)]
+        out = known.at(at_key[which])
+        to = np.cumsum(known.size[at_key][which], dtype=np.int64)
         return np.split(out, np.append(0, to)[np.searchsorted(first, at[1:-1])])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -203,8 +246,8 @@ class Tokens:
         return [x for *_, data, at in text_slices(pa.array(texts, pa.string()), GATHERED) for x in self.encode_buffer(data, at)]
 
 
-def _cut(known: dict[bytes, bytes | None], names: list[bytes], ids: np.ndarray, ends: np.ndarray, left_out: int) -> None:
-    """Remember the ids up to each end, and from there on without so many of them."""
+def _cut(known: dict[bytes, bytes], names: list[bytes], ids: np.ndarray, ends: np.ndarray, left_out: int) -> None:
+    """Give each name the ids up to its end, and from there on without so many of them."""
     raw, start = ids.tobytes(), 0
     for name, end in zip(names, [*(2 * ends).tolist(), len(raw)], strict=True):
         known[name] = raw[start:end]
@@ -251,7 +294,7 @@ def pieces(documents: DataFrame, path: str, length: int = LENGTH, ids: bool = Fa
                     columns.append(pa.array(cut, pa.list_(pa.field("element", pa.int32(), False))))
                 yield pa.record_batch(columns, names=[*PIECES.names, *(["ids"] if ids else [])])
 
-    return documents.select("doc_id", "text").mapInArrow(batches, T.StructType([*PIECES, _IDS]) if ids else PIECES)
+    return documents.select("doc_id", "text").mapInArrow(released(batches), T.StructType([*PIECES, _IDS]) if ids else PIECES)
 
 
 @dataclass
@@ -346,7 +389,7 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([*batch.columns[: len(names)], sequence, pa.array(places.offset[run])], names=[*names, "sequence_id", "offset"])
 
     schema = T.StructType([*cut.schema, T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)])
-    return ranked.select(*names, "rank").mapInArrow(batches, schema)
+    return ranked.select(*names, "rank").mapInArrow(released(batches), schema)
 
 
 def packed(documents: DataFrame, path: str, length: int = LENGTH) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import text_slices
+from tidemark.llm.arrow import released, text_slices
 from tidemark.llm.labelled import sample
 
 #: Labelled documents that the model is fitted on, at most.
@@ -193,7 +193,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 passages = np.bincount(p.text, minlength=j - i)
                 yield pa.record_batch([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(model.score(p, j - i)), pa.array(passages, pa.int64())], names=["doc_id", "score", "passages"])
 
-    return documents.select("doc_id", "text").mapInArrow(batches, "doc_id long, score double, passages long")
+    return documents.select("doc_id", "text").mapInArrow(released(batches), "doc_id long, score double, passages long")
 
 
 def keep(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -205,4 +205,4 @@ def keep(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             for i, j, data, at in text_slices(batch.column(place)):
                 yield batch.slice(i, j - i).filter(pa.array(model.score(Passages.of(data, at), j - i) >= threshold))
 
-    return documents.mapInArrow(batches, documents.schema)
+    return documents.mapInArrow(released(batches), documents.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidemark.llm import words as W
-from tidemark.llm.arrow import text_slices
+from tidemark.llm.arrow import released, text_slices
 from tidemark.llm.labelled import sample
 
 #: Labelled documents that the model is fitted on, at most.
@@ -186,7 +186,7 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
                         found[d].append({"start": a - int(at[d]), "text": data[a:b].tobytes().decode("utf-8", "replace"), "score": float(each[k])})
                 yield pa.record_batch([ids.slice(i, j - i).cast(pa.int64()), pa.array(whole, pa.float64()), pa.array(found, _SPANS)], names=SCORES.names)
 
-    return documents.select("doc_id", "text").mapInArrow(batches, SCORES)
+    return documents.select("doc_id", "text").mapInArrow(released(batches), SCORES)
 
 
 _SPANS = pa.list_(pa.field("element", pa.struct([pa.field("start", pa.int64(), False), pa.field("text", pa.string(), False), pa.field("score", pa.float64(), False)]), False))
@@ -202,4 +202,4 @@ def keep(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
                 whole, _ = model.score(Sentences.of(data, at), j - i)
                 yield batch.slice(i, j - i).filter(pa.array(whole < threshold))
 
-    return documents.mapInArrow(batches, documents.schema)
+    return documents.mapInArrow(released(batches), documents.schema)
